@@ -10,12 +10,23 @@ from corpus_search.functions.arrays import bind, run_lengths
 # Fixed value: norms below this count as zero, so a zero vector stays zero.
 SMALLEST_NORM = 1e-12
 
+# A cosine keeps seven decimals, which is what single precision holds of it. Rounding takes away the
+# noise of summation, so that orthogonal vectors give exactly zero in whatever order they are summed.
+COSINE_SCALE = 10_000_000.0
+
 
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, product: total + product)
 
 
+def cosine_similarity(left: Column, right: Column) -> Column:
+    """Single-precision dot product of two unit vectors."""
+    rounded = F.rint(dot(left, right) * COSINE_SCALE) / COSINE_SCALE
+    # Adding zero turns a negative zero into zero.
+    return (rounded + 0.0).cast("float")
+
+
 def l2_normalise(vector: Column) -> Column:
     def scaled(values: Column) -> Column:
         norm = F.greatest(F.sqrt(dot(values, values)), F.lit(SMALLEST_NORM))

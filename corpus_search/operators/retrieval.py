@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_search.functions.skew import broadcast_if_bounded
-from corpus_search.functions.vectors import dot
-from corpus_search.operators.embedding import Embedder, embed_queries
+from corpus_search.functions.vectors import cosine_similarity
 from corpus_search.operators.reranking import Reranker
 from corpus_search.settings import SearchSettings
 
@@ -49,10 +48,6 @@ def passages(candidates: DataFrame, knowledge: DataFrame) -> DataFrame:
     return candidates.join(knowledge, CHUNK_KEY)
 
 
-def cosine_similarity(left: Column, right: Column) -> Column:
-    return dot(left, right).cast("float")
-
-
 def with_cosine(
     candidates: DataFrame, knowledge: DataFrame, query_vectors: DataFrame
 ) -> DataFrame:
@@ -133,40 +128,6 @@ def result_columns(ranked: DataFrame, url_prefix: str) -> DataFrame:
     )
 
 
-def scored_candidates(
-    prepared: DataFrame,
-    knowledge: DataFrame,
-    bm25: DataFrame,
-    settings: SearchSettings,
-    embedder: Embedder,
-    reranker: Reranker,
-    n_queries: int | None = None,
-) -> DataFrame:
-    """Everything up to the relevance score. `n_queries` bounds the number of rows that are left
-    after the cosine cut; it is counted when not given."""
-    bound = settings.dense_cut * (prepared.count() if n_queries is None else n_queries)
-    lexical = lexical_candidates(bm25, query_tokens(prepared))
-    similar = with_cosine(lexical, knowledge, embed_queries(prepared, embedder))
-    dense = dense_candidates(similar, settings.dense_cut)
-    return with_relevance(dense, knowledge, prepared, reranker, bound)
-
-
 def top_results(scored: DataFrame, settings: SearchSettings) -> DataFrame:
     relevant = above_threshold(scored, settings.threshold)
     return best_per_query(relevant, "relevance", settings.k)
-
-
-def search(
-    prepared: DataFrame,
-    knowledge: DataFrame,
-    bm25: DataFrame,
-    settings: SearchSettings,
-    embedder: Embedder,
-    reranker: Reranker,
-    n_queries: int | None = None,
-) -> DataFrame:
-    """query_id, rank, title, url, start, end, excerpt: the k best passages of every query."""
-    scored = scored_candidates(
-        prepared, knowledge, bm25, settings, embedder, reranker, n_queries
-    )
-    return result_columns(top_results(scored, settings), settings.url_prefix)

@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.functions.text import clean, document_words
+from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
 from corpus_search.operators.knowledge import knowledge_base
 from corpus_search.operators.lexical import bm25_scores
 from corpus_search.operators.reranking import overlap_reranker
-from corpus_search.operators.retrieval import scored_candidates
 from corpus_search.operators.spelling import prepare_queries, word_dictionary
+from corpus_search.plans.search import scored_candidates
 from corpus_search.settings import IndexSettings, SearchSettings
 from corpus_search.sources.staging import stage, staging_folder
+from corpus_search.sources.tables import read_parquet, spread
 
 INDEX = IndexSettings(chunk_size=64, embedding_width=64)
 SEARCH = SearchSettings()
@@ -34,7 +36,7 @@ SHINGLE = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _first_sentence() -> F.Column:
@@ -46,7 +48,7 @@ def _created() -> F.Column:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("video_id"),
         _created().alias("creation_date"),
         clean(_first_sentence()).alias("title"),
@@ -179,11 +181,11 @@ class Index:
     knowledge: DataFrame
     dictionary: DataFrame
     prepared: DataFrame
-    n_queries: int
+    rows: DataFrame
 
     def scored(self) -> DataFrame:
         return scored_candidates(
-            self.prepared, self.knowledge, self.bm25, SEARCH, EMBEDDER, RERANKER, self.n_queries
+            self.prepared, self.knowledge, self.bm25, SEARCH, EMBEDDER, RERANKER, self.rows
         )
 
 
@@ -195,15 +197,18 @@ def build_index(spark: SparkSession, sf_dir: str) -> Index:
         f"{folder}/chunks",
     )
     dictionary = stage(word_dictionary(documents), f"{folder}/dictionary")
-    asked = queries(spark, sf_dir)
+    bm25 = stage(bm25_scores(encoded, INDEX.k1, INDEX.b), f"{folder}/bm25")
+    knowledge = stage(knowledge_base(encoded, documents), f"{folder}/knowledge")
     return Index(
         transcripts=documents,
         chunks=encoded,
-        bm25=stage(bm25_scores(encoded, INDEX.k1, INDEX.b), f"{folder}/bm25"),
-        knowledge=stage(knowledge_base(encoded, documents), f"{folder}/knowledge"),
+        bm25=bm25,
+        knowledge=knowledge,
         dictionary=dictionary,
-        prepared=stage(prepare_queries(asked, dictionary), f"{folder}/prepared"),
-        n_queries=asked.count(),
+        prepared=stage(
+            prepare_queries(queries(spark, sf_dir), dictionary), f"{folder}/prepared"
+        ),
+        rows=stage(search_rows(knowledge, bm25), f"{folder}/rows"),
     )
 
 
