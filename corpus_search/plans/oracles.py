@@ -70,15 +70,17 @@ def windows(settings: IndexSettings, source: str = "x_transcripts") -> str:
         WHERE len(w) > 0"""
 
 
-def embedding(column: str) -> str:
-    """Signed token counts over 2 * WIDTH hash slots."""
-    slots = (
+def hash_slots(column: str) -> str:
+    return (
         f"list_transform(list_filter({tokens(column)}, lambda x: x <> ''), "
         f"lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {2 * WIDTH})"
     )
-    return f"""list_transform(range({WIDTH}), lambda i:
-        (len(list_filter({slots}, lambda s: s = i))
-         - len(list_filter({slots}, lambda s: s = i + {WIDTH})))::DOUBLE)"""
+
+
+# Signed token counts over 2 * WIDTH hash slots.
+SIGNED_COUNTS = f"""list_transform(range({WIDTH}), lambda i:
+    (len(list_filter(slots, lambda s: s = i))
+     - len(list_filter(slots, lambda s: s = i + {WIDTH})))::DOUBLE)"""
 
 
 def one_edit(u: str, d: str) -> str:
@@ -190,8 +192,8 @@ RELATIONS: dict[str, str] = {
           round_even(c.chunk_index / chunk_count * 100, 0) / 100 AS "end", chunk
         FROM x_chunks c JOIN x_counts n ON c.video_id = n.video_id
         JOIN x_transcripts t ON c.video_id = t.video_id""",
-    "x_raw_vectors": f"""SELECT video_id, chunk_index, {embedding('chunk')} AS v
-        FROM x_chunks""",
+    "x_slots": f"SELECT video_id, chunk_index, {hash_slots('chunk')} AS slots FROM x_chunks",
+    "x_raw_vectors": f"SELECT video_id, chunk_index, {SIGNED_COUNTS} AS v FROM x_slots",
     "x_vectors": """SELECT video_id, chunk_index,
           list_transform(v, lambda x: (x / n)::FLOAT) AS embedding
         FROM (SELECT *, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n
@@ -216,10 +218,11 @@ RELATIONS: dict[str, str] = {
         FROM (SELECT query_id, unnest(words) AS token FROM x_prepared)""",
     "x_lexical": """SELECT query_id, video_id, chunk_index, sum(score) AS lexical_score
         FROM x_bm25 JOIN x_query_tokens USING (token) GROUP BY ALL""",
+    "x_query_slots": f"SELECT query_id, {hash_slots('corrected')} AS slots FROM x_prepared",
     "x_query_vectors": f"""SELECT query_id,
           list_transform(v, lambda x: (x / n)::FLOAT::DOUBLE) AS q
         FROM (SELECT query_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n
-              FROM (SELECT query_id, {embedding('corrected')} AS v FROM x_prepared))""",
+              FROM (SELECT query_id, {SIGNED_COUNTS} AS v FROM x_query_slots))""",
     "x_similar": """SELECT query_id, video_id, chunk_index, lexical_score,
           (round_even(list_dot_product(embedding::DOUBLE[], q) * 10000000, 0) / 10000000 + 0.0)::FLOAT
             AS cosine
