@@ -36,4 +36,5 @@ def run_lengths(values: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(values) > 0, bind(F.sort_array(values), counted))
+    # The check for an empty array is inside, or the array would be computed twice.
+    return bind(F.sort_array(values), lambda s: F.when(F.size(s) > 0, counted(s)))

@@ -5,8 +5,8 @@ shuffles the token rows of frequent words:
 
 * a chunk is one row, so its term frequencies are counted inside the row;
 * document frequencies are summed in the tasks first and shuffle one row per token and task;
-* scores need the token's IDF: frequent tokens are broadcast (a bounded number of them), and only
-  the rows of rare tokens are shuffled.
+* scores need the token's IDF: a vocabulary of known, small size is broadcast; of a larger one only
+  the frequent tokens are (a bounded number of them), and the rows of rare tokens are shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from corpus_search.functions.skew import HEAVY_KEYS, join_by_weight
 from corpus_search.functions.stop_words import ENGLISH_STOP_WORDS
 from corpus_search.functions.text import index_tokens, normalised_stop_words, raw_index_tokens
 from corpus_search.settings import BM25_B, BM25_K1
+from corpus_search.sources.staging import stage
+
+# Two million rows of a token and two numbers take about 200 MB in an executor.
+BROADCAST_TOKENS = 2_000_000
 
 
 def stop_word_counts(
@@ -90,17 +94,41 @@ def bm25_scores(
     b: float = BM25_B,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     heavy_keys: int = HEAVY_KEYS,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    """video_id, chunk_index, token, score for every token of every chunk."""
+    """video_id, chunk_index, token, score for every token of every chunk.
+
+    `frequencies` is the stored result of `document_frequencies`, if there is one. Its rows are
+    counted, and the whole vocabulary is broadcast when it has at most BROADCAST_TOKENS.
+    """
     tokens = chunk_tokens(chunks, stop_words)
     terms = term_frequencies(tokens)
     # One row, so it is a scalar subquery and needs no join.
     statistics = (
         corpus_statistics(tokens).select(F.struct("avg_n_tokens", "n_chunks")).scalar()
     )
-    idf = inverse_document_frequencies(document_frequencies(terms), statistics["n_chunks"])
+    is_small = frequencies is not None and frequencies.count() <= BROADCAST_TOKENS
+    if frequencies is None:
+        frequencies = document_frequencies(terms)
+    idf = inverse_document_frequencies(frequencies, statistics["n_chunks"])
+    if is_small:
+        weighted = terms.join(F.broadcast(idf), "token")
+    else:
+        weighted = join_by_weight(terms, idf, "token", "df", heavy_keys)
     tf, length = F.col("tf"), F.col("n_tokens") / statistics["avg_n_tokens"]
     score = F.col("idf") * ((tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length)))
-    return join_by_weight(terms, idf, "token", "df", heavy_keys).select(
-        "video_id", "chunk_index", "token", score.alias("score")
-    )
+    return weighted.select("video_id", "chunk_index", "token", score.alias("score"))
+
+
+def build_bm25(
+    chunks: DataFrame,
+    folder: str,
+    k1: float = BM25_K1,
+    b: float = BM25_B,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+) -> DataFrame:
+    """`bm25_scores` with the document frequencies stored in `folder` on the way, so that they are
+    computed once and their number is known."""
+    terms = term_frequencies(chunk_tokens(chunks, stop_words))
+    frequencies = stage(document_frequencies(terms), f"{folder}/frequencies")
+    return bm25_scores(chunks, k1, b, stop_words, frequencies=frequencies)

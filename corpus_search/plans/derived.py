@@ -17,7 +17,7 @@ from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
 from corpus_search.operators.knowledge import knowledge_base
-from corpus_search.operators.lexical import bm25_scores
+from corpus_search.operators.lexical import build_bm25
 from corpus_search.operators.reranking import overlap_reranker
 from corpus_search.operators.spelling import prepare_queries, word_dictionary
 from corpus_search.plans.search import scored_candidates
@@ -197,7 +197,7 @@ def build_index(spark: SparkSession, sf_dir: str) -> Index:
         f"{folder}/chunks",
     )
     dictionary = stage(word_dictionary(documents), f"{folder}/dictionary")
-    bm25 = stage(bm25_scores(encoded, INDEX.k1, INDEX.b), f"{folder}/bm25")
+    bm25 = stage(build_bm25(encoded, folder, INDEX.k1, INDEX.b), f"{folder}/bm25")
     knowledge = stage(knowledge_base(encoded, documents), f"{folder}/knowledge")
     return Index(
         transcripts=documents,

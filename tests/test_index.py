@@ -91,6 +91,16 @@ def test_bm25_is_the_same_however_tokens_are_split(spark, heavy_keys):
         assert r.score > 0
 
 
+@pytest.mark.parametrize("limit", [0, 1_000])
+def test_bm25_with_stored_frequencies(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(lexical, "BROADCAST_TOKENS", limit)
+    texts = ["hot a b", "hot a", "hot", "c c d"]
+    chunks = chunk_rows(spark, texts)
+    found = lexical.build_bm25(chunks, str(tmp_path), stop_words=()).collect()
+    expected = reference_bm25(texts)
+    assert {(r.video_id, r.token): pytest.approx(r.score) for r in found} == expected
+
+
 def test_blank_chunk_counts_one_token_and_stop_words_none(spark):
     tokens = lexical.chunk_tokens(chunk_rows(spark, ["", "the of", "cat cat dog"]))
     assert [r.n_tokens for r in tokens.sort("video_id").collect()] == [1, 0, 3]
