@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # the number of rows, so fewer than HEAVY_KEYS keys can be heavy, whatever the data.
 HEAVY_KEYS = 20_000
 
+# Parts that the rows of one heavy key are dealt out over.
+SALTS = 64
+
 
 def join_by_weight(
     rows: DataFrame,
@@ -33,6 +36,37 @@ def join_by_weight(
     return in_place.unionByName(shuffled)
 
 
+def join_salted(
+    rows: DataFrame,
+    others: DataFrame,
+    key: str,
+    spread_by: list[str],
+    heavy_keys: int = HEAVY_KEYS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Inner join where a key may be frequent in `rows` and occur many times in `others` as well.
+
+    The rows of a heavy key are dealt out over `salts` parts by the columns `spread_by`, and the
+    other side has a copy of that key's rows for every part. Other keys are joined as they are.
+    """
+    weights = rows.groupBy(key).agg(F.count("*").alias("weight"))
+    total = weights.agg(F.sum("weight")).scalar()
+    heavy = F.broadcast(
+        weights.filter(F.col("weight") * F.lit(heavy_keys) > total).select(
+            key, F.lit(True).alias("is_heavy")
+        )
+    )
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salted = rows.join(heavy, key, "left").withColumn(
+        "salt", F.when(F.col("is_heavy"), part).otherwise(0)
+    )
+    every_part = F.sequence(F.lit(0), F.lit(salts - 1))
+    copied = others.join(heavy, key, "left").withColumn(
+        "salt", F.explode(F.when(F.col("is_heavy"), every_part).otherwise(F.array(F.lit(0))))
+    )
+    return salted.drop("is_heavy").join(copied.drop("is_heavy"), [key, "salt"]).drop("salt")
+
+
 def broadcast_if_bounded(rows: DataFrame, row_bound: int, limit: int) -> DataFrame:
     """`rows` with a broadcast hint when they are known to be at most `limit`, else unchanged, which
     leaves the join to a shuffle."""

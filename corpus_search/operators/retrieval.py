@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_search.functions.skew import broadcast_if_bounded
+from corpus_search.functions.skew import broadcast_if_bounded, join_salted
 from corpus_search.functions.vectors import cosine_similarity
 from corpus_search.operators.reranking import Reranker
 from corpus_search.settings import SearchSettings
@@ -28,19 +28,19 @@ def query_tokens(prepared: DataFrame) -> DataFrame:
     return prepared.select("query_id", F.explode(F.array_distinct("words")).alias("token"))
 
 
-def lexical_candidates(bm25: DataFrame, tokens: DataFrame) -> DataFrame:
+def lexical_candidates(bm25: DataFrame, tokens: DataFrame, is_small: bool = False) -> DataFrame:
     """query_id, video_id, chunk_index, lexical_score of every chunk that shares a token with the
     query. Nothing is cut here.
 
-    A query table below Spark's broadcast threshold is broadcast by Catalyst, so the index is read
-    in place and summed in the tasks first; a larger one is joined by a shuffle on the token, where
-    adaptive execution splits frequent tokens.
+    A query table that is known to be small is broadcast, so the index is read in place. A larger
+    one is joined by a shuffle on the token, with the rows of frequent tokens dealt out over many
+    tasks. Scores are summed in the tasks before they are shuffled.
     """
-    return (
-        bm25.join(tokens, "token")
-        .groupBy(*PAIR_KEY)
-        .agg(F.sum("score").alias("lexical_score"))
-    )
+    if is_small:
+        matches = bm25.join(F.broadcast(tokens), "token")
+    else:
+        matches = join_salted(bm25, tokens, "token", CHUNK_KEY)
+    return matches.groupBy(*PAIR_KEY).agg(F.sum("score").alias("lexical_score"))
 
 
 def passages(candidates: DataFrame, knowledge: DataFrame) -> DataFrame:

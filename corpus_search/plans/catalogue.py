@@ -81,7 +81,9 @@ def append_chunks(spark, d):
 
 def rebuild_bm25(spark, d):
     old = chunking.split_documents(dv.known_transcripts(spark, d), dv.INDEX)
-    scores = lexical.bm25_scores(snapshots.append_new(old, dv.chunks(spark, d)))
+    folder = staging_folder(spark)
+    chunks = stage(snapshots.append_new(old, dv.chunks(spark, d)), f"{folder}/chunks")
+    scores = lexical.build_bm25(chunks, folder)
     return scores.groupBy("token").agg(
         F.count("*").alias("n_chunks"), F.round(F.sum("score"), 4).alias("total_score")
     )

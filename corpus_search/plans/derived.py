@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.functions.text import clean, document_words
-from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
-from corpus_search.operators.knowledge import knowledge_base
 from corpus_search.operators.lexical import build_bm25
 from corpus_search.operators.reranking import overlap_reranker
 from corpus_search.operators.spelling import prepare_queries, word_dictionary
-from corpus_search.plans.search import scored_candidates
+from corpus_search.plans.search import open_index, scored_candidates
 from corpus_search.settings import IndexSettings, SearchSettings
 from corpus_search.sources.staging import stage, staging_folder
 from corpus_search.sources.tables import read_parquet, spread
@@ -198,17 +196,17 @@ def build_index(spark: SparkSession, sf_dir: str) -> Index:
     )
     dictionary = stage(word_dictionary(documents), f"{folder}/dictionary")
     bm25 = stage(build_bm25(encoded, folder, INDEX.k1, INDEX.b), f"{folder}/bm25")
-    knowledge = stage(knowledge_base(encoded, documents), f"{folder}/knowledge")
+    opened = open_index(documents, encoded, bm25, folder)
     return Index(
         transcripts=documents,
         chunks=encoded,
         bm25=bm25,
-        knowledge=knowledge,
+        knowledge=opened.knowledge,
         dictionary=dictionary,
         prepared=stage(
             prepare_queries(queries(spark, sf_dir), dictionary), f"{folder}/prepared"
         ),
-        rows=stage(search_rows(knowledge, bm25), f"{folder}/rows"),
+        rows=opened.rows,
     )
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
-from corpus_search.operators.batch_scoring import best_in_place, fits_batch, query_batch
+from corpus_search.operators.batch_scoring import (
+    best_in_place,
+    fits_batch,
+    query_batch,
+    search_rows,
+)
 from corpus_search.operators.embedding import Embedder, embed_queries
+from corpus_search.operators.knowledge import knowledge_base
 from corpus_search.operators.reranking import Reranker
 from corpus_search.operators.retrieval import (
     dense_candidates,
@@ -17,6 +25,23 @@ from corpus_search.operators.retrieval import (
     with_relevance,
 )
 from corpus_search.settings import SearchSettings
+from corpus_search.sources.staging import stage
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """What searches read. Knowledge base and rows are made once per version of the stored tables."""
+
+    bm25: DataFrame
+    knowledge: DataFrame
+    rows: DataFrame
+
+
+def open_index(
+    transcripts: DataFrame, chunks: DataFrame, bm25: DataFrame, folder: str
+) -> SearchIndex:
+    knowledge = stage(knowledge_base(chunks, transcripts), f"{folder}/knowledge")
+    return SearchIndex(bm25, knowledge, stage(search_rows(knowledge, bm25), f"{folder}/rows"))
 
 
 def joined_candidates(
@@ -25,9 +50,10 @@ def joined_candidates(
     bm25: DataFrame,
     settings: SearchSettings,
     embedder: Embedder,
+    is_small: bool = False,
 ) -> DataFrame:
     """The first half of the funnel as joins, for any number of queries."""
-    lexical = lexical_candidates(bm25, query_tokens(prepared))
+    lexical = lexical_candidates(bm25, query_tokens(prepared), is_small)
     similar = with_cosine(lexical, knowledge, embed_queries(prepared, embedder))
     return dense_candidates(similar, settings.dense_cut)
 
@@ -47,12 +73,13 @@ def scored_candidates(
     scored where they are; otherwise candidates are found by joins. The number of queries also
     bounds the rows that are left after the cosine cut.
     """
-    if rows is not None and fits_batch(prepared):
+    is_small = fits_batch(prepared)
+    if rows is not None and is_small:
         batch = query_batch(prepared, embed_queries(prepared, embedder))
         dense = best_in_place(rows, batch, settings.dense_cut)
         n_queries = len(batch.ids)
     else:
-        dense = joined_candidates(prepared, knowledge, bm25, settings, embedder)
+        dense = joined_candidates(prepared, knowledge, bm25, settings, embedder, is_small)
         n_queries = prepared.count()
     return with_relevance(
         dense, knowledge, prepared, reranker, settings.dense_cut * n_queries

@@ -16,12 +16,8 @@ from corpus_search.sources.schemas import STORED_TABLES, empty_table
 
 POINTER = "_CURRENT"
 
-# How the rows of each table are ordered where they are written.
-SORT_KEYS = {
-    "transcripts": ["video_id"],
-    "chunks": ["video_id", "chunk_index"],
-    "bm25": ["video_id", "chunk_index", "token"],
-}
+# How new rows are ordered where they are written. The lexical index is written as it is computed.
+SORT_KEYS = {"transcripts": ["video_id"], "chunks": ["video_id", "chunk_index"]}
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -94,10 +90,10 @@ def publish(
     for name, df in {**appended, **replaced}.items():
         folder = f"v={version}/{name}"
         columns = STORED_TABLES[name].fieldNames()
-        keys = SORT_KEYS[name]
-        df.select(*columns).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
-            "overwrite"
-        ).parquet(f"{root}/{folder}")
+        rows = df.select(*columns)
+        if keys := SORT_KEYS.get(name):
+            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows.write.mode("overwrite").parquet(f"{root}/{folder}")
         written = spark.read.schema(STORED_TABLES[name]).parquet(f"{root}/{folder}")
         if name in replaced:
             content = fingerprint(written)

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpus_search.functions.arrays import run_lengths
-from corpus_search.functions.skew import join_by_weight
+from corpus_search.functions.skew import join_by_weight, join_salted
 from corpus_search.functions.vectors import hashed_bag_of_words, l2_normalise, require_width
 from corpus_search.operators import audit, context, embedding, lexical
 from corpus_search.operators.chunking import documents_without_chunks, split_documents
@@ -130,6 +130,20 @@ def test_join_by_weight_keeps_every_row_once(spark):
         assert joined.filter("key = 'hot'").select("most").distinct().collect()[0][0] == 999
 
 
+@pytest.mark.parametrize("heavy_keys", [1, 5, 10_000])
+def test_join_salted_equals_a_plain_join(spark, heavy_keys):
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id"
+    )
+    others = spark.createDataFrame(
+        [("hot", "a"), ("hot", "b"), ("1", "c"), ("absent", "d")], "key string, other string"
+    )
+    salted = join_salted(rows, others, "key", ["id"], heavy_keys, salts=4)
+    assert sorted(salted.select("key", "id", "other").collect()) == sorted(
+        rows.join(others, "key").select("key", "id", "other").collect()
+    )
+
+
 @pytest.mark.parametrize(("index", "count", "mark"), [(23, 40, 0.57), (29, 200, 0.14), (1, 1, 1.0)])
 def test_marks_round_in_floating_point(spark, index, count, mark):
     found = spark.range(1).select(rounded(F.lit(index) / F.lit(count))).first()[0]

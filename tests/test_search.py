@@ -108,8 +108,8 @@ def corpus(spark):
     return chunks, knowledge, scores, prepared
 
 
-@pytest.mark.parametrize("cut", [3, 250])
-def test_in_place_scoring_equals_joins_and_brute_force(spark, corpus, cut):
+@pytest.mark.parametrize(("cut", "is_small"), [(3, True), (250, False)])
+def test_in_place_scoring_equals_joins_and_brute_force(spark, corpus, cut, is_small):
     chunks, knowledge, scores, prepared = corpus
     settings = SearchSettings(dense_cut=cut)
     columns = ["query_id", "dense_rank", "video_id", "chunk_index", "lexical_score", "cosine"]
@@ -120,7 +120,7 @@ def test_in_place_scoring_equals_joins_and_brute_force(spark, corpus, cut):
             for r in df.select(*columns).sort("query_id", "dense_rank").collect()
         ]
 
-    joined = joined_candidates(prepared, knowledge, scores, settings, EMBED)
+    joined = joined_candidates(prepared, knowledge, scores, settings, EMBED, is_small)
     assert fits_batch(prepared)
     batch = query_batch(prepared, embed_queries(prepared, EMBED))
     in_place = best_in_place(search_rows(knowledge, scores), batch, cut)
