@@ -2,8 +2,8 @@
 
 The general way (`retrieval`) makes a row per query and matching chunk, shuffles it, and joins the
 vectors. For a batch of queries that fits into memory, the chunks can stay where they are: every
-task scores its chunks against the whole batch with one matrix product, and hands on at most a few
-hundred rows per query. The results are the same.
+task scores its chunks against the whole batch by matrix products, and hands on only rows that are
+among its best so far. The results are the same.
 
 The scan needs tokens, scores and vector of a chunk in one row. `search_rows` joins them once per
 index version, so that no query batch has to.
@@ -95,7 +95,9 @@ def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vars(batch))
     cells, scale = CELLS, COSINE_SCALE
 
-    def score(part: pa.RecordBatch, vocabulary: pa.Array) -> pa.RecordBatch:
+    def score(
+        part: pa.RecordBatch, vocabulary: pa.Array, best: np.ndarray
+    ) -> tuple[pa.RecordBatch, np.ndarray]:
         queries = shared.value
         starts, members = queries["starts"], queries["members"]
         n_rows, n_queries = part.num_rows, len(queries["ids"])
@@ -120,12 +122,11 @@ def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
         products = vectors.reshape(n_rows, -1) @ queries["vectors"].T
         cosine = (np.rint(products * scale) / scale).astype(np.float32)
         cosine[~matched | (cosine <= 0)] = -np.inf
-        kept = np.isfinite(cosine)
-        if n_rows > cut:
-            # Rows equal to the last one within the cut stay, so ties are settled later.
-            kept &= cosine >= np.partition(cosine, n_rows - cut, axis=0)[n_rows - cut]
-        at_row, at_query = np.nonzero(kept)
-        return pa.RecordBatch.from_arrays(
+        # The `cut` best cosines of this task so far, lowest first in no other order. Rows equal to
+        # the lowest stay, so ties are settled later.
+        best = np.partition(np.concatenate([best, cosine]), n_rows, axis=0)[n_rows:]
+        at_row, at_query = np.nonzero(np.isfinite(cosine) & (cosine >= best[0]))
+        kept = pa.RecordBatch.from_arrays(
             [
                 pa.array(queries["ids"][at_query]),
                 part.column("video_id").take(pa.array(at_row)),
@@ -135,13 +136,16 @@ def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
             ],
             names=["query_id", "video_id", "chunk_index", "lexical_score", "cosine"],
         )
+        return kept, best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(shared.value["tokens"], pa.string())
-        step = max(1, cells // len(shared.value["ids"]))
+        n_queries = len(shared.value["ids"])
+        best = np.full((cut, n_queries), -np.inf, dtype=np.float32)
         for part in batches:
-            for at in range(0, part.num_rows, step):
-                yield score(part.slice(at, step), vocabulary)
+            for at in range(0, part.num_rows, max(1, cells // n_queries)):
+                kept, best = score(part.slice(at, max(1, cells // n_queries)), vocabulary, best)
+                yield kept
 
     scored = rows.select(*CHUNK_KEY, "tokens", "scores", "embedding").mapInArrow(run, OUTPUT)
     return best_per_query(scored, "cosine", cut, "dense_rank")

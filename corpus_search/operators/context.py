@@ -22,19 +22,19 @@ def context_prompts(
     """One prompt per chunk. Prompts of one document are adjacent and in order, so a service that
     caches prompt prefixes reads the document once.
 
-    The chunks are sorted before they meet the whole texts, and the join keeps their order, so the
-    wide prompt rows are neither shuffled nor sorted.
+    The chunks of a document are listed in order (a document has at most 32,767, and together they
+    are about as long as its text), joined to the text, and unfolded again. So the wide prompt rows
+    are neither shuffled nor sorted.
     """
     texts = truncate_documents(documents, settings).select("video_id", "transcript")
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk")))
+    prompt = fill(template, transcript=F.col("transcript"), chunk=F.col("entry.chunk"))
     return (
-        chunks.select(*CHUNK_KEY, "chunk")
-        .repartition("video_id")
-        .sortWithinPartitions(*CHUNK_KEY)
+        chunks.groupBy("video_id")
+        .agg(in_order.alias("entries"))
         .join(texts, "video_id")
-        .select(
-            *CHUNK_KEY,
-            fill(template, transcript=F.col("transcript"), chunk=F.col("chunk")).alias("prompt"),
-        )
+        .select("video_id", "transcript", F.explode("entries").alias("entry"))
+        .select("video_id", F.col("entry.chunk_index"), prompt.alias("prompt"))
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpus_search.functions.text import clean, strip
 from corpus_search.settings import MAX_LISTED
+from corpus_search.sources.snapshots import not_stored
 
 OUTCOMES = ["missing_field", "existing", "unavailable", "empty", "rejected", "new"]
 
@@ -47,7 +48,7 @@ def has_required_fields() -> Column:
 
 
 def not_yet_ingested(items: DataFrame, transcripts: DataFrame) -> DataFrame:
-    return items.join(transcripts.select("video_id"), "video_id", "left_anti")
+    return not_stored(items, transcripts)
 
 
 def assemble_snippets(snippets: DataFrame, block: int = SNIPPET_BLOCK) -> DataFrame:

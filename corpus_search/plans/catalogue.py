@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_search.functions import templates
 from corpus_search.functions import text as tx
 from corpus_search.functions.vectors import dot, l2_normalise, require_width
 from corpus_search.operators import (
@@ -566,6 +567,12 @@ def system_prompts(spark, d):
     return prompts.system_prompts(dv.queries(spark, d))
 
 
+def template_contract(spark, d):
+    """Doubled braces are literal, and braces inside the inserted text stay as they are."""
+    filled = templates.fill("{{{query}}}", query=F.concat(F.lit("{query} "), F.col("query")))
+    return dv.queries(spark, d).select("query_id", filled.alias("prompt"))
+
+
 def merged_answers(spark, d):
     return prompts.answers(dv.queries(spark, d), dv.answers(spark, d))
 
@@ -723,6 +730,7 @@ QUERIES: dict[str, Query] = {
     "p1_context_blocks": context_blocks,
     "p2_user_prompts": user_prompts,
     "p3_system_prompts": system_prompts,
+    "p4_template_contract": template_contract,
     "p5_answers": merged_answers,
     "p6_context_stripped": context_stripped,
     "p7_search_links": search_links,

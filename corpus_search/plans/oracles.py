@@ -420,6 +420,8 @@ STATEMENTS: dict[str, str] = {
     "p3_system_prompts": f"""SELECT query_id, {template(
             SYSTEM_TEMPLATE, delimiter=text(DELIMITER), search_url=text(VIDEO_SEARCH_URL),
             query='query')} AS prompt FROM x_queries""",
+    "p4_template_contract": """SELECT query_id, '{' || '{query} ' || query || '}' AS prompt
+        FROM x_queries""",
     "p5_answers": f"""SELECT q.query_id,
         CASE WHEN coalesce(content, '') = '' THEN {text(EMPTY_ANSWER)} ELSE content END AS answer,
         coalesce(content, '') <> '' AND coalesce(finish_reason, '') = 'length' AS is_truncated

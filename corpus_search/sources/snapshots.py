@@ -118,7 +118,21 @@ def sorted_transcripts(transcripts: DataFrame) -> DataFrame:
     return transcripts.sort(F.desc("creation_date"), "video_id")
 
 
+def not_stored(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The new rows of documents that `old` does not hold.
+
+    The ids of the old table are first reduced to those that occur among the new ones, which are
+    usually few enough for Catalyst to broadcast; so the old table is scanned and not shuffled.
+    """
+    repeated = (
+        old.select("video_id")
+        .join(new.select("video_id").distinct(), "video_id", "left_semi")
+        .distinct()
+    )
+    return new.join(repeated, "video_id", "left_anti")
+
+
 def append_new(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows and the new rows of documents that are not there yet, so a repeated run adds no
     document twice."""
-    return old.unionByName(new.join(old.select("video_id"), "video_id", "left_anti"))
+    return old.unionByName(not_stored(new, old))

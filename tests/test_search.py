@@ -7,7 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_search.functions.templates import split_template
-from corpus_search.operators import evaluation, prompts, reranking, retrieval, spelling
+from corpus_search.operators import (
+    batch_scoring,
+    evaluation,
+    prompts,
+    reranking,
+    retrieval,
+    spelling,
+)
 from corpus_search.operators.batch_scoring import (
     best_in_place,
     fits_batch,
@@ -108,8 +115,13 @@ def corpus(spark):
     return chunks, knowledge, scores, prepared
 
 
-@pytest.mark.parametrize(("cut", "is_small"), [(3, True), (250, False)])
-def test_in_place_scoring_equals_joins_and_brute_force(spark, corpus, cut, is_small):
+@pytest.mark.parametrize(
+    ("cut", "is_small", "cells"), [(3, True, 2_000_000), (250, False, 2_000_000), (4, True, 100)]
+)
+def test_in_place_scoring_equals_joins_and_brute_force(
+    spark, corpus, monkeypatch, cut, is_small, cells
+):
+    monkeypatch.setattr(batch_scoring, "CELLS", cells)
     chunks, knowledge, scores, prepared = corpus
     settings = SearchSettings(dense_cut=cut)
     columns = ["query_id", "dense_rank", "video_id", "chunk_index", "lexical_score", "cosine"]
