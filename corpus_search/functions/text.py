@@ -16,8 +16,8 @@ from corpus_search.functions.stop_words import ENGLISH_STOP_WORDS
 
 # Fixed value: the characters with the Unicode White_Space property.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0            "
-    "    　"
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Entities and what they become. The ampersand is last, so that a text holding
