@@ -4,7 +4,7 @@ The chain predicts `severe` (three different toxic terms or more), then `repeate
 then `toxic`, the labelled category on which decisions rest. Each model sees a document's terms and
 the probabilities of the categories before it; in training those are out-of-fold predictions, so
 that a later model learns from predictions as good as those it gets in use. Terms are the hashed
-words that speak for the label; toxic terms, which define the first two categories, are those found
+words and word stems (the first bytes, for inflected languages) that speak for the label; toxic terms, which define the first two categories, are those found
 in toxic documents only but for one in ten.
 
 Models are fitted on a bounded sample of the labelled rows (SAMPLE) and sent to the tasks (a few
@@ -28,16 +28,34 @@ from pyspark.sql import functions as F
 
 from corpus_search.llm.samples import best_threshold, labelled, linear, logistic
 from corpus_search.llm.tables import small_batches, spread, whole
-from corpus_search.llm.words import BY_LETTERS, U, hashed_words
+from corpus_search.llm.words import BY_LETTERS, ODD, U, Words, hashed_words, mix
 
 SAMPLE = 20_000
+STEMS = (4, 5, 6, 8)  # bytes
+PURE = 0.9
 TERMS = 128
-LEAST_Z = 5.0
+LEAST_Z = 8.0
 FOLDS = 5
 CATEGORIES = ("severe", "repeated", "toxic")
 SLOTS = 1 << 16
 
 
+def words_and_stems(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of all words (even numbers), then of the stems of longer words (odd)."""
+    size = words.ends - words.starts
+    hashes, rows = [words.hashes & ~U(1)], [words.row]
+    at, stem, done = np.arange(len(size)), np.zeros(len(size), U), 0
+    for n in STEMS:
+        on = size[at] > n
+        at, stem = at[on], stem[on]
+        for j in range(done, n):
+            stem = stem * ODD + BY_LETTERS[words.data[words.starts[at] + j]]
+        done = n
+        hashes.append(mix(stem) | U(1))
+        rows.append(words.row[at])
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 @dataclass
 class Chain:
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # sorted word hashes
@@ -67,8 +85,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words in hashed_words(batch.column("text"), BY_LETTERS):
             rows = words.last - words.first
-            order = np.lexsort((words.hashes, words.row))
-            h, row = words.hashes[order], words.row[order]
+            h, row = words_and_stems(words)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             h, row = h[new], row[new]
@@ -96,14 +115,16 @@ def choose_terms(words: np.ndarray, row: np.ndarray, y: np.ndarray):
         n = np.bincount(index[on], minlength=len(all_words))
         with_y = np.bincount(index[on], y[row[on]], len(all_words))
         z = (with_y - n * rate) / np.sqrt(n * max(rate, 1e-4) * (1 - rate) + 1e-9)
-        z[n < 3] = 0
+        z[(n < 3) | (with_y < PURE * n) | (always < PURE * everywhere)] = 0
         best = int(np.argmax(z))
         if z[best] < LEAST_Z:
             break
         chosen.append(best)
         open_rows[row[index == best]] = False
-    chosen = np.sort(np.array(chosen, np.int64))
-    return all_words[chosen], always[chosen] >= 0.9 * everywhere[chosen]
+    # Terms that go along with a chosen one but are frequent and pure can stand by themselves.
+    frequent = np.flatnonzero((always >= 0.98 * everywhere) & (everywhere >= 0.05 * y.sum() + 5))
+    chosen = np.union1d(np.array(chosen, np.int64), frequent[np.argsort(-always[frequent])][:TERMS])
+    return all_words[chosen], always[chosen] >= PURE * everywhere[chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str) -> Chain:
@@ -122,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     terms, toxic = choose_terms(words, row, y)
     chain = Chain(terms)
     x = chain.features(words, row, len(y))
-    many = x[:, toxic].sum(axis=1)
+    stems = (terms & U(1)).astype(bool)
+    many = np.maximum(x[:, toxic & stems].sum(axis=1), x[:, toxic & ~stems].sum(axis=1))
     targets = (y * (many >= 3), y * (many >= 2), y)
     fold = np.arange(len(y)) % FOLDS
     out_of_fold = np.zeros((len(y), 0))
@@ -143,7 +165,7 @@ def _scorer(sent):
         for batch in batches:
             p = np.zeros((batch.num_rows, len(CATEGORIES)))
             for words in hashed_words(batch.column("_text"), BY_LETTERS):
-                x = chain.features(words.hashes, words.row, words.last - words.first)
+                x = chain.features(*words_and_stems(words), words.last - words.first)
                 p[words.first : words.last] = chain.predict(x)
             kept = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
