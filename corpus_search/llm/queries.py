@@ -44,8 +44,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return token_counts.edited_counts(documents, token_counts.line_edits(documents))
+    """Counts after two edits of every document: a heading in front, the last line gone."""
+    return token_counts.edited_counts(token_counts.line_edits(table(spark, sf_dir, "documents")))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
