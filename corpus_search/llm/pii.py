@@ -38,8 +38,8 @@ WIDE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++"
     r"(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]{0,2}+(?:\x20?\.\x20?[0-9]{1,3}+){3}+(?![0-9])",
-    "card": r"[0-9](?<![0-9][0-9])[0-9]{3}(?:[\x20./_-]{1,2}[0-9]{4}){3}(?![0-9])",
-    "phone": r"[(0-9](?<![0-9+][(0-9])(?:(?<=\()[0-9]{3}\)|[0-9]{2})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "card": r"[0-9](?<![0-9][0-9])(?:[0-9]{12,18}+|[0-9]{3}(?:[\x20./_-]{1,2}[0-9]{4}){3})(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 #: A text without the sign (or one of the digits) has no candidate of the kind.
 SIGN = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\x20?\\.\\x20?[0-9]", "card": "[0-9]{4}|[0-9][\\x20-][0-9]", "phone": "\\+[0-9]|[0-9]{3}[\\x20.-][0-9]{4}"}
@@ -171,7 +171,7 @@ def candidates(df: DataFrame, text_col: str = "_text") -> DataFrame:
     apart = {
         f"w_{k}": F.filter(
             f"w_{k}",
-            lambda w: ~F.exists(f"b_{k}", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])),
+            lambda w: ~F.exists(f"v_{k}", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])),
         )
         for k in KINDS
     }

@@ -41,17 +41,18 @@ SLOTS = 1 << 16
 
 
 def words_and_stems(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and rows of all words (even numbers), then of the stems of longer words (odd)."""
+    """Hashes and rows of all words, then of the stems of longer words; the last three bits say
+    which (0: words, then the lengths of stems)."""
     size = words.ends - words.starts
-    hashes, rows = [words.hashes & ~U(1)], [words.row]
+    hashes, rows = [words.hashes & ~U(7)], [words.row]
     at, stem, done = np.arange(len(size)), np.zeros(len(size), U), 0
-    for n in STEMS:
+    for family, n in enumerate(STEMS, 1):
         on = size[at] > n
         at, stem = at[on], stem[on]
         for j in range(done, n):
             stem = stem * ODD + BY_LETTERS[words.data[words.starts[at] + j]]
         done = n
-        hashes.append(mix(stem) | U(1))
+        hashes.append(mix(stem) & ~U(7) | U(family))
         rows.append(words.row[at])
     return np.concatenate(hashes), np.concatenate(rows)
 
@@ -143,10 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     terms, toxic = choose_terms(words, row, y)
     chain = Chain(terms)
     x = chain.features(words, row, len(y))
-    stems = (terms & U(1)).astype(bool)
-    many = np.maximum(x[:, toxic & stems].sum(axis=1), x[:, toxic & ~stems].sum(axis=1))
+    family = (terms & U(7)).astype(int)
+    many = np.max([x[:, toxic & (family == f)].sum(axis=1) for f in range(len(STEMS) + 1)], axis=0)
     targets = (y * (many >= 3), y * (many >= 2), y)
-    fold = np.arange(len(y)) % FOLDS
+    fold = np.random.default_rng(0).permutation(len(y)) % FOLDS
     out_of_fold = np.zeros((len(y), 0))
     for target in targets:
         seen = np.column_stack([x, out_of_fold])
