@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_search.llm.samples import best_threshold, labelled, linear, logistic
-from corpus_search.llm.tables import small_batches, spread, whole
+from corpus_search.llm.tables import Stage, small_batches, spread, whole
 from corpus_search.llm.words import BY_LETTERS, ODD, U, Words, hashed_words, mix
 
 SAMPLE = 20_000
 STEMS = (4, 5, 6, 8)  # bytes
 PURE = 0.9
 TERMS = 128
+CANDIDATES = 2_000
 LEAST_Z = 8.0
 FOLDS = 5
 CATEGORIES = ("severe", "repeated", "toxic")
@@ -82,71 +83,112 @@ class Chain:
         return out
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The different words and stems of each row."""
+    h, row = words_and_stems(words)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a task hold each term, and the sum of their labels."""
+
+    def rows(held: list):
+        terms, index = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        y = np.bincount(index, np.concatenate([y for _, y in held]), len(terms))
+        n = np.bincount(index, minlength=len(terms))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms.astype(np.int64)), pa.array(n), pa.array(y)], ["term", "n", "y"]
+        )
+
+    held, size = [], 0
     for batch in batches:
+        label = batch.column("label").to_numpy()
         for words in hashed_words(batch.column("text"), BY_LETTERS):
-            rows = words.last - words.first
-            h, row = words_and_stems(words)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
-            at = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("label").slice(words.first, rows),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(h.astype(np.int64))),
-                ],
-                ["label", "words"],
-            )
+            h, row = _distinct(words)
+            held.append((h, label[row + words.first]))
+            size += len(h)
+            if size > 1 << 20:
+                yield rows(held)
+                held, size = [], 0
+    if held:
+        yield rows(held)
 
 
-def choose_terms(words: np.ndarray, row: np.ndarray, y: np.ndarray):
-    """Words that speak for the label, and which of them are toxic terms. The best word is taken,
-    the rows that hold it are set aside, and so on: a word that only goes along with a chosen one
-    is left with no row to speak for it."""
-    all_words, index = np.unique(words, return_inverse=True)
-    everywhere = np.bincount(index, minlength=len(all_words))
-    always = np.bincount(index, y[row], len(all_words))
-    chosen, open_rows = [], np.ones(len(y), bool)
+def _hits(terms: np.ndarray):
+    """Per row its label and the places of the terms that it holds."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in hashed_words(batch.column("text"), BY_LETTERS):
+                rows = words.last - words.first
+                h, row = _distinct(words)
+                place = np.searchsorted(terms, h).clip(max=len(terms) - 1)
+                on = terms[place] == h
+                at = np.searchsorted(row[on], np.arange(rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("label").slice(words.first, rows),
+                        pa.ListArray.from_arrays(pa.array(at), pa.array(place[on])),
+                    ],
+                    ["label", "places"],
+                )
+
+    return find
+
+
+def choose_terms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of `x` (rows x candidate terms) to use. The best term is taken, the rows that hold it
+    are set aside, and so on: a term that only goes along with a chosen one is left with no row to
+    speak for it, unless it is frequent enough to stand by itself."""
+    chosen, open_rows = set(), np.ones(len(y), bool)
     while len(chosen) < TERMS:
-        on = open_rows[row]
         rate = y[open_rows].mean() if open_rows.any() else 0
-        n = np.bincount(index[on], minlength=len(all_words))
-        with_y = np.bincount(index[on], y[row[on]], len(all_words))
+        n, with_y = x[open_rows].sum(axis=0), x[open_rows & (y > 0)].sum(axis=0)
         z = (with_y - n * rate) / np.sqrt(n * max(rate, 1e-4) * (1 - rate) + 1e-9)
-        z[(n < 3) | (with_y < PURE * n) | (always < PURE * everywhere)] = 0
-        best = int(np.argmax(z))
-        if z[best] < LEAST_Z:
+        z[(n < 3) | (with_y < PURE * n)] = 0
+        best = int(np.argmax(z)) if len(z) else 0
+        if not len(z) or z[best] < LEAST_Z:
             break
-        chosen.append(best)
-        open_rows[row[index == best]] = False
-    # Terms that go along with a chosen one but are frequent and pure can stand by themselves.
-    frequent = np.flatnonzero((always >= 0.98 * everywhere) & (everywhere >= 0.05 * y.sum() + 5))
-    chosen = np.union1d(np.array(chosen, np.int64), frequent[np.argsort(-always[frequent])][:TERMS])
-    return all_words[chosen], always[chosen] >= PURE * everywhere[chosen]
+        chosen.add(best)
+        open_rows &= ~x[:, best]
+    n, with_y = x.sum(axis=0), x[y > 0].sum(axis=0)
+    frequent = np.flatnonzero((with_y >= 0.98 * n) & (n >= 0.05 * y.sum() + 5))
+    return np.array(sorted(chosen | set(frequent[np.argsort(-with_y[frequent])][:TERMS])), np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str) -> Chain:
-    known = labelled(labels, label, SAMPLE, id_col)
+    stage = Stage(docs.sparkSession)
+    known = stage.put(labelled(labels, label, SAMPLE, id_col), "labels")
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     # At most SAMPLE pairs of numbers.
-    sample = spread(rows.join(F.broadcast(known), "id").select("label", "text"))
-    data = sample.mapInArrow(_distinct, "label double, words array<long>").toArrow()
-    y = np.array(data.column("label").to_pylist(), float)
-    if not len(y) or y.min() == y.max():
+    sample = rows.join(F.broadcast(known), "id").select("label", "text")
+    sample = spread(stage.put(sample, "sample"))
+    many, rate = sample.agg(F.count("*"), F.avg("label")).first()
+    if not many or rate in (0.0, 1.0):
         return Chain()
-    lists = data.column("words").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    words = lists.flatten().to_numpy().astype(U)
-    row = np.repeat(np.arange(len(y)), size)
-    terms, toxic = choose_terms(words, row, y)
-    chain = Chain(terms)
-    x = chain.features(words, row, len(y))
-    family = (terms & U(7)).astype(int)
-    many = np.max([x[:, toxic & (family == f)].sum(axis=1) for f in range(len(STEMS) + 1)], axis=0)
-    targets = (y * (many >= 3), y * (many >= 2), y)
+    counts = sample.mapInArrow(_term_counts, "term long, n long, y double")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    z = (F.col("y") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    best = counts.withColumn("z", z).filter((F.col("y") >= PURE * F.col("n")) & (F.col("z") >= LEAST_Z))
+    best = best.orderBy(F.desc("z"), "term").limit(CANDIDATES).collect()
+    terms = np.sort(np.array([r["term"] for r in best], np.int64).astype(U))
+    if not len(terms):
+        return Chain()
+    data = sample.mapInArrow(_hits(terms), "label double, places array<long>").toArrow()
+    y = np.array(data.column("label").to_pylist(), float)
+    lists = data.column("places").combine_chunks()
+    x = np.zeros((len(y), len(terms)), bool)
+    x[np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+    chosen = choose_terms(x, y)
+    chain, x = Chain(terms[chosen]), x[:, chosen].astype(float)
+    # All chosen terms are found in toxic documents only, but for one row in ten.
+    family = (chain.terms & U(7)).astype(int)
+    mentions = np.max([x[:, family == f].sum(axis=1) for f in range(len(STEMS) + 1)], axis=0)
+    targets = (y * (mentions >= 3), y * (mentions >= 2), y)
     fold = np.random.default_rng(0).permutation(len(y)) % FOLDS
     out_of_fold = np.zeros((len(y), 0))
     for target in targets:
