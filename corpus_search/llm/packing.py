@@ -16,6 +16,7 @@ Rows
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -31,7 +32,7 @@ from corpus_search.llm.tables import Stage, spread, whole
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 300_000  # the ids of so many words are kept by a task, then it starts again
+KNOWN_WORDS = 1_000_000  # the ids of so many words are kept by a task, then it starts again
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,27 +41,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Known(dict):
+    """Ids of the words met so far, as bytes; a new word is encoded when it is first asked for."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__({"": b""})
 
-    return Tokenizer.from_file(path), {"": b""}
+    def __missing__(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return ids
+
+
+@cache
+def known_words(path: str) -> Known:
+    return Known(path)
 
 
-def encode(path: str, texts: list[str]) -> Iterator[np.ndarray]:
+def encode(path: str, texts: list[str]) -> Iterator[bytes]:
     """The ids of each text. This vocabulary's tokens never go over white space, so a word that was
     met before keeps its ids."""
-    tokenizer, known = _tokenizer(path)
-    words = [t.replace("\n", " ").split(" ") for t in texts]
+    known = known_words(path)
     if len(known) > KNOWN_WORDS:
         known.clear()
         known[""] = b""
-    new = list({w for ws in words for w in ws if w not in known})
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for ws in words:
-        yield b"".join(map(known.__getitem__, ws))
+    get = known.__getitem__
+    for text in texts:
+        yield b"".join(map(get, text.replace("\n", " ").split(" ")))
 
 
 def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
