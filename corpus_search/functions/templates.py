@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 def split_template(template: str, fields: set[str]) -> list[tuple[str, str | None]]:
     """Pieces of (literal, field after it). Unknown, missing or malformed placeholders fail here,
     before a job starts."""
-    pieces = [(literal, field) for literal, field, _, _ in Formatter().parse(template)]
+    parsed = list(Formatter().parse(template))
+    if any(spec or conversion for _, _, spec, conversion in parsed):
+        raise ValueError("placeholders take no conversion and no format")
+    pieces = [(literal, field) for literal, field, _, _ in parsed]
     used = {field for _, field in pieces if field is not None}
     if unknown := used - fields:
         raise ValueError(f"unknown placeholders: {sorted(unknown)}")

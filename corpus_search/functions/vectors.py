@@ -41,7 +41,8 @@ def cosine_similarity(left: Column, right: Column) -> Column:
         )
         # Adding zero turns a negative zero into zero.
         cosine = np.rint(np.einsum("ij,ij->i", x, y) * scale) / scale + 0.0
-        return pa.array(cosine.astype(np.float32))
+        # A vector that is not finite is similar to nothing.
+        return pa.array(cosine.astype(np.float32), mask=~np.isfinite(cosine))
 
     return products(left, right)
 
@@ -60,11 +61,15 @@ def l2_normalise(vector: Column) -> Column:
 
 
 def require_width(vector: Column, width: int) -> Column:
-    """The vector itself; a vector of another width fails the job instead of being stored."""
-    return F.when(F.size(vector) == width, vector).otherwise(
+    """The vector itself; a vector of another width, or one that is not finite, fails the job
+    instead of being stored."""
+    finite = F.forall(vector, lambda value: F.abs(value) < float("inf"))
+    return F.when((F.size(vector) == width) & finite, vector).otherwise(
         F.raise_error(
             F.concat(
-                F.lit(f"embedding width must be {width}, got "), F.size(vector).cast("string")
+                F.lit(f"embedding width must be {width}, got "),
+                F.size(vector).cast("string"),
+                F.lit(" values, which must be finite"),
             )
         )
     )

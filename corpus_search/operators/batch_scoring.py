@@ -70,7 +70,9 @@ def fits_batch(prepared: DataFrame) -> bool:
 
 
 def query_batch(prepared: DataFrame, query_vectors: DataFrame) -> QueryBatch:
-    """Only for queries that pass `fits_batch`."""
+    """Only for queries that pass `fits_batch`, since they are collected and sent to all tasks."""
+    if not fits_batch(prepared):
+        raise ValueError("too many queries or words for one batch")
     rows = (
         prepared.join(query_vectors, "query_id")
         .select("query_id", F.array_distinct("words").alias("words"), "query_embedding")
@@ -121,7 +123,7 @@ def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
         vectors = part.column("embedding").flatten().to_numpy().astype(np.float64)
         products = vectors.reshape(n_rows, -1) @ queries["vectors"].T
         cosine = (np.rint(products * scale) / scale).astype(np.float32)
-        cosine[~matched | (cosine <= 0)] = -np.inf
+        cosine[~(matched & np.isfinite(cosine) & (cosine > 0))] = -np.inf
         # The `cut` best cosines of this task so far, lowest first in no other order. Rows equal to
         # the lowest stay, so ties are settled later.
         best = np.partition(np.concatenate([best, cosine]), n_rows, axis=0)[n_rows:]

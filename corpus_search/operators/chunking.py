@@ -22,14 +22,13 @@ def truncate_documents(documents: DataFrame, settings: IndexSettings) -> DataFra
 
 def split_documents(documents: DataFrame, settings: IndexSettings) -> DataFrame:
     """Windows of `chunk_size` words that share `overlap` words with the one before, numbered from
-    1. A document without words gives no row.
+    1. A document without words gives no row. Documents are indexed whole; a limit is only set for
+    the window of a prompt (`truncate_documents`).
 
     Narrow: every document is cut where it was read.
     """
     size, stride = settings.chunk_size, settings.stride
-    words = documents.select(
-        "video_id", truncated_words(F.col("transcript"), settings).alias("words")
-    )
+    words = documents.select("video_id", document_words(F.col("transcript")).alias("words"))
     last = F.greatest(
         F.lit(0), F.ceil((F.size("words") - size) / F.lit(stride)).cast("int")
     )

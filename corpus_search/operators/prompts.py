@@ -62,7 +62,7 @@ def system_prompts(
         fill(
             template,
             delimiter=F.lit(delimiter),
-            search_url=F.lit(search_url),
+            youtube_search_url=F.lit(search_url),
             query=F.col("query"),
         ).alias("prompt"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpus_search.functions.text import query_words
-from corpus_search.settings import MODEL_BATCH, RERANK_WORDS
+from corpus_search.settings import MODEL_BATCH
 
 Reranker = Callable[[Column, Column], Column]
 PairModel = Callable[[list[tuple[str, str]]], np.ndarray]
@@ -25,14 +25,16 @@ PHRASE_WEIGHT = 2.0
 BIAS = -5.0
 
 
-def overlap_reranker(max_words: int = RERANK_WORDS) -> Reranker:
+def overlap_reranker(max_words: int | None = None) -> Reranker:
     """Sigmoid of the share of distinct query words the passage holds, with a bonus for a passage
-    that holds the whole query as a phrase. As in a cross-encoder with a fixed input length, words
-    after `max_words` do not count, which is why the title and the context come first."""
+    that holds the whole query as a phrase. With `max_words`, words after that do not count, as in a
+    cross-encoder with a fixed input length."""
 
     def score(query: Column, passage: Column) -> Column:
         wanted = F.array_distinct(query_words(query))
-        seen = F.slice(query_words(passage), 1, max_words)
+        seen = query_words(passage)
+        if max_words is not None:
+            seen = F.slice(seen, 1, max_words)
         coverage = F.size(F.array_intersect(wanted, seen)) / F.greatest(F.size(wanted), F.lit(1))
         phrase = F.contains(
             F.concat(F.lit(" "), F.array_join(seen, " "), F.lit(" ")),

@@ -16,7 +16,6 @@ from corpus_search.settings import (
     FUSION_CONSTANT,
     MAX_DOCUMENT_TOKENS,
     QUERY_PREFIX,
-    RERANK_WORDS,
     SYSTEM_TEMPLATE,
     USER_TEMPLATE,
     VIDEO_SEARCH_URL,
@@ -64,7 +63,7 @@ def windows(settings: IndexSettings, source: str = "x_transcripts") -> str:
     return f"""
         SELECT video_id, (i + 1)::SMALLINT AS chunk_index,
                array_to_string(list_slice(w, i * {stride} + 1, i * {stride} + {size}), ' ') AS chunk
-        FROM (SELECT video_id, list_slice({words('transcript')}, 1, {MAX_DOCUMENT_TOKENS}) AS w
+        FROM (SELECT video_id, {words('transcript')} AS w
               FROM {source}) d,
              unnest(range(0, greatest(0, ceil((len(w) - {size}) / {stride}))::BIGINT + 1)) t(i)
         WHERE len(w) > 0"""
@@ -234,7 +233,7 @@ RELATIONS: dict[str, str] = {
     "x_pairs": f"""SELECT d.*, title, "start", "end", chunk, corrected,
           list_distinct({query_words('corrected')}) AS wanted,
           array_to_string({query_words('corrected')}, ' ') AS phrase,
-          list_slice({query_words("lower(title) || ': ' || chunk")}, 1, {RERANK_WORDS}) AS seen
+          {query_words("lower(title) || ': ' || chunk")} AS seen
         FROM x_dense d JOIN x_knowledge k USING (video_id, chunk_index)
         JOIN x_prepared p USING (query_id)""",
     "x_scored": f"""SELECT *, (1 / (1 + exp(-(
@@ -418,7 +417,7 @@ STATEMENTS: dict[str, str] = {
             USER_TEMPLATE, context="coalesce(context, '')", query='query')} AS prompt
         FROM x_queries q LEFT JOIN x_context c ON q.query_id = c.query_id""",
     "p3_system_prompts": f"""SELECT query_id, {template(
-            SYSTEM_TEMPLATE, delimiter=text(DELIMITER), search_url=text(VIDEO_SEARCH_URL),
+            SYSTEM_TEMPLATE, delimiter=text(DELIMITER), youtube_search_url=text(VIDEO_SEARCH_URL),
             query='query')} AS prompt FROM x_queries""",
     "p4_template_contract": """SELECT query_id, '{' || '{query} ' || query || '}' AS prompt
         FROM x_queries""",

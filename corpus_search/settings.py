@@ -12,7 +12,6 @@ EMBEDDING_WIDTH = 768
 BM25_K1 = 1.5
 BM25_B = 0.75
 DENSE_CUT = 250
-RERANK_WORDS = 512
 TOP_K = 3
 RELEVANCE_THRESHOLD = 0.9
 MODEL_BATCH = 32
@@ -34,7 +33,7 @@ to respond to the query: {query}
 """
 
 # The two longer templates are deployment settings; the document comes before the chunk so that all
-# prompts of one document share a prefix.
+# prompts of one document share a prefix. The placeholders' names are fixed values.
 CONTEXT_TEMPLATE = """<document>
 {transcript}
 </document>
@@ -51,7 +50,7 @@ SYSTEM_TEMPLATE = """Answer from the entries below, which are separated by {deli
 START and END marks as fractions of the length, and an EXCERPT that opens with a short written
 summary. Cite TITLE, URL, START and END of every entry you use and claim nothing they do not say.
 If there is no entry, or none fits, say so, answer from general knowledge with sources, and point
-to {search_url}={query}.
+to {youtube_search_url}={query}.
 """
 
 EMPTY_ANSWER = "No answer was produced. Please try again."

@@ -17,6 +17,9 @@ def staging_folder(spark: SparkSession) -> str:
     test) gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         return tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpus_search.operators.embedding import Embedder
 from corpus_search.plans.build import ingest_and_publish
-from corpus_search.settings import MAX_LISTED, IndexSettings
+from corpus_search.settings import IndexSettings
 from corpus_search.sources.listing import listing_items
 from corpus_search.sources.schemas import LISTING, SNIPPETS
 
@@ -19,7 +19,7 @@ def run_ingest(
     checkpoint: str,
     settings: IndexSettings,
     embedder: Embedder,
-    max_listed: int = MAX_LISTED,
+    max_listed: int | None = None,
     completions: DataFrame | None = None,
 ) -> None:
     """Process the listing files that landed since the last run, then stop.

@@ -13,7 +13,7 @@ from corpus_search.functions.arrays import run_lengths
 from corpus_search.functions.skew import join_by_weight, join_salted
 from corpus_search.functions.vectors import hashed_bag_of_words, l2_normalise, require_width
 from corpus_search.operators import audit, context, embedding, lexical
-from corpus_search.operators.chunking import documents_without_chunks, split_documents
+from corpus_search.operators.chunking import documents_without_chunks, split_documents, truncate_documents
 from corpus_search.operators.knowledge import knowledge_base, rounded
 from corpus_search.settings import IndexSettings
 
@@ -56,8 +56,11 @@ def test_default_window_overlap():
 
 def test_truncation_and_documents_without_words(spark):
     settings = IndexSettings(chunk_size=4, max_document_tokens=5)
-    chunks = split_documents(documents(spark, ["a b c d e f g", " \n ", ""]), settings)
-    assert [r.chunk for r in chunks.sort("chunk_index").collect()] == ["a b c d", "e"]
+    rows = documents(spark, ["a b c d e f g", " \n ", ""])
+    chunks = split_documents(rows, settings)
+    assert [r.chunk for r in chunks.sort("chunk_index").collect()] == ["a b c d", "e f g"]
+    cut = truncate_documents(rows, settings).sort("video_id").first()
+    assert cut.transcript == "a b c d e"
     blank = documents_without_chunks(documents(spark, ["a", " \n ", "", None]))
     assert sorted(r.video_id for r in blank.collect()) == ["1", "2", "3"]
 

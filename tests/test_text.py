@@ -3,11 +3,13 @@ from __future__ import annotations
 import re
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpus_search.functions import text as tx
+from corpus_search.functions.templates import split_template
 
 
 def test_whitespace_runs_collapse_and_single_breaks_stay(column):
@@ -60,3 +62,9 @@ def test_tokens_and_words_match_plain_python(spark, texts):
         assert tokens == re.sub(r"\s+", " ", kept).strip().split(" ")
         assert words == re.sub(f"[{string.punctuation}]", " ", text).lower().split()
         assert collapsed == re.sub(r"\s{2,}", " ", text)
+
+
+def test_templates_refuse_conversions_and_formats():
+    for template in ("{query!r}", "{query:>10}", "{query!s:x}"):
+        with pytest.raises(ValueError):
+            split_template(template, {"query"})
