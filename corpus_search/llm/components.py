@@ -38,3 +38,22 @@ def components(stage: Stage, links: DataFrame, name: str) -> DataFrame:
         labels = after.select("node", "component")
         if after.filter("changed").isEmpty():
             return labels
+
+
+def merged(stage: Stage, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """`labels` after further links. These are taken between the components so far, so that many
+    links between the same two are one edge."""
+    ends = links.select(F.explode(F.array("left", "right")).alias("node")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = stage.put(labels.select("node", "component").unionAll(new), f"known_{name}")
+    between = (
+        links.select("left", "right")
+        .join(labels.toDF("left", "a"), "left")
+        .join(labels.toDF("right", "b"), "right")
+        .filter("a != b")
+        .select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+        .distinct()
+    )
+    tops = components(stage, between, name).toDF("component", "top")
+    joined = labels.join(tops, "component", "left")
+    return stage.put(joined.select("node", F.coalesce("top", "component").alias("component")), f"merged_{name}")

@@ -7,8 +7,11 @@ so two documents agree in a coordinate with the probability of their weighted Ja
 The work of a document is its words plus its darts, not words times coordinates.
 
 Signatures meet in 32 bands of four coordinates. A band never lists all pairs of its members: they
-are compared with four members drawn at random in each band, and those that got no link are compared
-once more with all members of their bands. Candidates pass an exact comparison of their shingles;
+are compared with up to four members drawn at random in each band. Bands of more than three whose
+members are then still in different components get an exact second way: two texts that are similar
+enough share one of their rarest shingles (the first ninth of the shorter one's weight, the first
+fifth of the longer one's), so documents that only have a passage in common do not meet again, while
+no link between two components is left out. Candidates pass an exact comparison of their shingles;
 classes are the connected components of the links.
 
 Rows
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_search.llm.components import components
+from corpus_search.llm.components import components, merged
 from corpus_search.llm.tables import Stage, spread, whole
 from corpus_search.llm.words import ODD, U, Words, hashed_words, mix
 
@@ -34,7 +37,11 @@ SHINGLE = 5
 COORDINATES = 128
 BANDS = 32
 SIMILAR = 0.8
-LEADERS = 4
+#: Drawn members cover all pairs of a band of so many.
+COVERED = 3
+#: Shingles that make up more than one part in so many of those counted are known as frequent. There
+#: are fewer of them than this, whatever the data: 16 bytes each in every task.
+FREQUENT = 1_000_000
 #: Signatures that agree in less are not compared exactly; at similarity 0.8 an estimate this low
 #: is over six standard deviations off.
 ESTIMATE = 0.58
@@ -143,6 +150,55 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         assert done == batch.num_rows
 
 
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a block hold each shingle."""
+    for batch in batches:
+        for words in hashed_words(batch.column("text")):
+            _, s, _ = shingles(words, words.last - words.first)
+            s, n = np.unique(s.astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["shingle", "n"])
+
+
+def _rarest(sent):
+    """The rarest shingles of each text up to a share of 1 - SIMILAR of its weight. `first` marks
+    those up to (1 - SIMILAR) / (1 + SIMILAR). Frequent shingles come last, by their counts; the
+    others are ordered by their hashes, so that the order is the same for all texts. `rest` is the
+    weight from the shingle on."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, count = sent.value
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for words in hashed_words(batch.column("text")):
+                rows = words.last - words.first
+                row, s, weight = shingles(words, rows)
+                s = s.astype(np.int64)
+                often = np.zeros(len(s), np.int64)
+                if len(frequent):
+                    at = np.searchsorted(frequent, s).clip(max=len(frequent) - 1)
+                    often = np.where(frequent[at] == s, count[at], 0)
+                order = np.lexsort((s, often, row))
+                row, s, weight = row[order], s[order], weight[order]
+                total = np.bincount(row, weights=weight, minlength=rows)
+                before = np.cumsum(weight) - weight - (np.cumsum(total) - total)[row]
+                total = total[row]
+                rest = (total - before).astype(np.int64)
+                on = before <= (1 - SIMILAR) * total + 1e-6
+                first = before <= (1 - SIMILAR) / (1 + SIMILAR) * total + 1e-6
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(nodes[words.first : words.last][row[on]]),
+                        pa.array(s[on]),
+                        pa.array(total[on].astype(np.int64)),
+                        pa.array(rest[on]),
+                        pa.array(first[on]),
+                    ],
+                    ["node", "shingle", "total", "rest", "first"],
+                )
+
+    return find
+
+
 def _counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for words in hashed_words(column):
@@ -204,7 +260,8 @@ def _compared(stage: Stage, pairs: DataFrame, nodes: DataFrame, texts: DataFrame
     texts = texts.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = stage.put(texts, f"texts_{name}")
     exact = (
-        close.join(texts.toDF("left", "left_text"), "left")
+        spread(close)
+        .join(texts.toDF("left", "left_text"), "left")
         .join(texts.toDF("right", "right_text"), "right")
         .select("left", "right", "left_text", "right_text")
         .mapInArrow(verified, "left long, right long, similarity double")
@@ -233,6 +290,60 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _unsettled(stage: Stage, members: DataFrame, bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component) of the members of larger bands that hold more than one component."""
+    own = F.coalesce("component", "node")
+    large = stage.put(
+        members.join(bands.filter(F.col("n") > COVERED).select("key"), "key")
+        .join(labels.select("node", "component"), "node", "left")
+        .select("key", "node", own.alias("component")),
+        "large_bands",
+    )
+    mixed = large.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    mixed = mixed.filter("a != b").select("key")
+    return stage.put(large.join(mixed, "key").select("node", "component").distinct(), "unsettled")
+
+
+def _meeting(stage: Stage, unsettled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components that may be similar enough. Where a shingle is held by several
+    components, the members of all but the largest look for partners."""
+    spark = unsettled.sparkSession
+    few = F.broadcast(unsettled) if unsettled.count() <= BROADCAST_NODES else unsettled
+    texts = texts.join(few.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
+    texts = stage.put(texts, "texts_unsettled")
+    counts = spread(texts).mapInArrow(_shingle_counts, "shingle long, n long")
+    counts = stage.put(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "shingle_counts")
+    total = counts.agg(F.sum("n")).first()[0]
+    frequent = counts.filter((F.col("n") > 1) & (F.col("n") * FREQUENT > total)).orderBy("shingle").toArrow()
+    sent = spark.sparkContext.broadcast((frequent.column("shingle").to_numpy(), frequent.column("n").to_numpy()))
+    rare = spread(texts).mapInArrow(_rarest(sent), "node long, shingle long, total long, rest long, first boolean")
+    rare = stage.put(rare.join(few, "node"), "rarest")
+    shared = rare.groupBy("shingle", "component").agg(F.count("*").alias("n"), F.max("first").alias("first"))
+    shared = shared.groupBy("shingle").agg(
+        F.count("*").alias("parts"),
+        F.max("first").alias("any_first"),
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+    )
+    shared = shared.filter("parts > 1 and any_first").select("shingle", "largest")
+    rare = stage.put(rare.join(shared, "shingle"), "rarest_shared")
+    probe = rare.filter("component != largest").drop("largest")
+    columns = ("", "_total", "_rest", "_first", "_component")
+    probe = probe.select("shingle", "node", "total", "rest", "first", "component")
+    other = rare.select("shingle", "node", "total", "rest", "first", "component")
+    met = probe.toDF("shingle", *(f"a{c}" for c in columns)).join(
+        other.toDF("shingle", *(f"b{c}" for c in columns)), "shingle"
+    )
+    shorter = F.when(F.col("a_total") < F.col("b_total"), F.col("a_first")).when(
+        F.col("a_total") > F.col("b_total"), F.col("b_first")
+    ).otherwise(F.col("a_first") | F.col("b_first"))
+    # The first shingle in common: no more than the weights from it on can be shared.
+    needed = SIMILAR / (1 + SIMILAR) * (F.col("a_total") + F.col("b_total")) - 1e-6
+    met = met.filter(
+        (F.col("a_component") != F.col("b_component")) & shorter & (F.least("a_rest", "b_rest") >= needed)
+    )
+    return met.select(*_ordered("a", "b")).distinct().withColumn("shared", F.lit(0).cast("long"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -301,25 +412,13 @@ def near_duplicates(
     links = _compared(stage, best, nodes, texts, "best")
     labels = components(stage, links, "first")
     more = _compared(stage, _apart(pairs, labels), nodes, texts, "more")
-    links = links.unionAll(more)
-    labels = components(stage, links, "second")
-    alone = (
-        members.join(bands.filter(f"n > {LEADERS}").select("key"), "key")
-        .join(labels.select("node"), "node", "left_anti")
-        .select("key", F.col("node").alias("probe"))
-    )
-    alone = stage.put(alone, "alone")
-    if not alone.isEmpty():
-        probes = (
-            alone.join(members, "key")
-            .filter("node != probe")
-            .select(*_ordered("node", "probe"))
-            .distinct()
-            .withColumn("shared", F.lit(0).cast("long"))
-        )
-        rest = probes.join(pairs.select("left", "right"), ["left", "right"], "left_anti")
+    labels = merged(stage, labels, more, "second")
+    unsettled = _unsettled(stage, members, bands, labels)
+    if not unsettled.isEmpty():
+        met = _meeting(stage, unsettled, texts)
+        rest = met.join(pairs.select("left", "right"), ["left", "right"], "left_anti")
         found = _compared(stage, rest, nodes, texts, "rest")
-        labels = components(stage, links.unionAll(found), "third")
+        labels = merged(stage, labels, found, "third")
     classes = ids.join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("class"), "first_id", "n_rows"
     )

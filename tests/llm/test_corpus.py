@@ -215,6 +215,27 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_among_documents_with_a_common_passage(spark):
+    """Bands full of documents that are nearly similar enough; some are copies, and chains of copies
+    hang together by single links."""
+    random.seed(17)
+    passage = [f"p{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        rows.append([*passage, *(f"q{i}x{j}" for j in range(12 + i % 9))])
+    for i in range(0, 60, 7):
+        rows.append([*rows[i][:40], "changed", *rows[i][41:]])
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(40):
+        chain = [*chain[:3 * i % 100], f"d{i}", *chain[3 * i % 100 + 1 :]]
+        rows.append(chain)
+    random.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df).collect()}
+    assert got == classes_by_force(rows)
+
+
 def test_signatures_estimate_the_weighted_similarity():
     a = " ".join(f"x{i % 90}" for i in range(400))
     b = " ".join(f"x{i % 90}" for i in range(300)) + " " + " ".join(f"y{i}" for i in range(40))
