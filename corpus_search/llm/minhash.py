@@ -7,7 +7,7 @@ so two documents agree in a coordinate with the probability of their weighted Ja
 The work of a document is its words plus its darts, not words times coordinates.
 
 Signatures meet in 32 bands of four coordinates. A band never lists all pairs of its members: they
-are compared with up to four members drawn at random in each band. Bands of more than three whose
+are compared with two members drawn at random in each band. Bands of more than three whose
 members are then still in different components get an exact second way: two texts that are similar
 enough share one of their rarest shingles (the first ninth of the shorter one's weight, the first
 fifth of the longer one's), so documents that only have a passage in common do not meet again, while
@@ -367,7 +367,7 @@ def near_duplicates(
     )
     ids, texts = nodes.select("node", "first_id", "n_rows"), rows.select("node", "text")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    drawn = [_drawn(i) for i in range(2)]
+    drawn = [_drawn(0)]
     bands = members.groupBy("key").agg(
         F.count("*").alias("n"),
         *[f(x).alias(f"{f.__name__}_{i}") for i, x in enumerate(drawn) for f in (F.min, F.max)],
@@ -379,7 +379,7 @@ def near_duplicates(
             F.array(
                 *[
                     F.col(f"{f}_{i}").bitwiseXOR(F.xxhash64("key", F.lit(i)))
-                    for i in range(2)
+                    for i in range(len(drawn))
                     for f in ("min", "max")
                 ]
             ).alias("leaders"),
