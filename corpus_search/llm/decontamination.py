@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from corpus_search.llm.tables import small_batches, spread, whole
 from corpus_search.llm.words import ODD, U, hashed_words, mix
 
-#: Fixed masks (1: the token counts). The first finds runs, the others leave out every third or
-#: fourth, or a pair of tokens.
-MASKS = ("11111", "110110101", "11011011", "101101011", "111000111")
+#: Fixed masks (1: the token counts), found by trying all patterns: every stretch of 12 equal tokens
+#: or more with one in four replaced is hit by one of them wherever its replaced tokens are, and so is
+#: every item of 8 tokens or more. Shorter items have masks of their own.
+MASKS = ("11111", "1110111", "111001011", "1100101011", "1100110101")
+SHORT_MASKS = ("1111", "11011", "11101", "10111")
+SHORTEST, SHORT = 5, 8  # tokens of the shortest item that matches, and of the first one that is not short
 #: An overlap counts from this many equal tokens on, if at most one in four of its tokens is replaced.
 LEAST = 12
 OF_ITEM = 0.8  # or this part of a shorter item
@@ -48,6 +51,7 @@ class Seeds:
     hashes: np.ndarray
     position: np.ndarray
     ids: list
+    masks: tuple[str, ...]  # those that some item needs
 
 
 def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -67,14 +71,17 @@ def seeds(texts: list[str], ids: list) -> Seeds:
     bounds = np.searchsorted(item, np.arange(len(texts) + 1))
     begin, end = bounds[item], bounds[item + 1]
     hashes, position = [], []
-    for mask in MASKS:
+    size = end - begin
+    masks = MASKS + SHORT_MASKS * bool(((size >= SHORTEST) & (size < SHORT)).any())
+    for mask in masks:
         h = seed_hashes(tokens, mask)
-        at = np.flatnonzero(item[: len(h)] == item[len(mask) - 1 :][: len(h)])
+        fits = (size >= SHORTEST) & (size < (SHORT if mask in SHORT_MASKS else np.inf))
+        at = np.flatnonzero((item[: len(h)] == item[len(mask) - 1 :][: len(h)]) & fits[: len(h)])
         hashes.append(h[at])
         position.append(at)
     h, at = np.concatenate(hashes), np.concatenate(position)
     order = np.argsort(h, kind="stable")
-    return Seeds(tokens, item, begin, end, h[order], at[order], list(ids))
+    return Seeds(tokens, item, begin, end, h[order], at[order], list(ids), masks)
 
 
 def _runs(hit: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +94,7 @@ def overlaps(tokens: np.ndarray, row: np.ndarray, rows: int, seeds: Seeds, bloom
     """(row, item, equal tokens, aligned tokens) of the verified overlaps of a block of texts."""
     found = []
     bounds = np.searchsorted(row, np.arange(rows + 1))
-    for mask in MASKS:
+    for mask in seeds.masks:
         h = seed_hashes(tokens, mask)
         at = np.flatnonzero(bloom[(h & U(len(bloom) - 1)).astype(np.int64)])
         at = at[row[at] == row[at + len(mask) - 1]]
@@ -117,13 +124,17 @@ def overlaps(tokens: np.ndarray, row: np.ndarray, rows: int, seeds: Seeds, bloom
 
 
 def _best(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the largest score, one for an equal token and minus three for another (so
-    that it has three in four equal): its equal tokens and its length."""
+    """The stretch with the most equal tokens among those that have at least three in four equal
+    (a sum of one for an equal token and minus three for another that is not below zero), without
+    replaced tokens at its ends: its equal tokens and its length."""
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -REPLACED))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.argmin(total[: end + 1]))
-    return int(same[begin:end].sum()), end - begin
+    good = np.concatenate([[0], np.cumsum(same)])
+    # For each end the first begin with a sum that is no larger.
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)
+    equal = good - good[begin]
+    end = int(np.argmax(equal))
+    inside = np.flatnonzero(same[begin[end] : end])
+    return int(equal[end]), int(inside[-1] - inside[0] + 1) if len(inside) else 0
 
 
 def _bloom(seeds: Seeds) -> np.ndarray:

@@ -272,6 +272,46 @@ def test_decontamination_tolerates_replaced_tokens(spark, odd, empty):
     assert decontamination.clean(docs, bench.limit(0)).count() == 5
 
 
+def test_decontamination_finds_all_that_meets_the_rule(spark):
+    """Items of 5 to 30 tokens with up to one in four replaced, at random and every fourth."""
+    random.seed(19)
+    rows, items, want = [], [], set()
+    for n in [5, 6, 7, 8, 10, 12] * 20 + list(range(15, 31)) * 20:
+        i = len(items)
+        item = [f"i{i}x{j}" for j in range(n)]
+        most = n - min(12, math.ceil(0.8 * n)) if n < 16 else n // 4
+        for k in {most, int(n * 0.15), int(n * 0.2)} if n >= 15 else {most}:
+            copy = list(item)
+            for j in random.sample(range(n), k):
+                copy[j] = "other"
+            rows.append((len(rows), " ".join(["before", *copy, "after"])))
+            want.add((len(rows) - 1, i))
+        if n >= 16:
+            every = ["other" if j % 4 == 3 else x for j, x in enumerate(item)]
+            rows.append((len(rows), " ".join(every)))
+            want.add((len(rows) - 1, i))
+        half = ["other" if j % 2 else x for j, x in enumerate(item)]
+        rows.append((len(rows), " ".join(half)))
+        items.append((i, " ".join(item)))
+    items.append((len(items), "one two three four"))
+    rows.append((len(rows), "one two three four"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(found) == want
+    assert all(4 * r.equal_tokens >= 3 * r.aligned_tokens for r in found.values())
+
+
+def test_best_stretch_equals_brute_force():
+    random.seed(23)
+    for _ in range(300):
+        same = [random.random() < 0.7 for _ in range(random.randrange(1, 30))]
+        spans = [same[a:b] for b in range(len(same) + 1) for a in range(b + 1)]
+        most = max(sum(x) for x in spans if 4 * sum(x) >= 3 * len(x))
+        equal, length = decontamination._best(np.array(same))
+        assert equal == most and 4 * equal >= 3 * length
+
+
 def test_decontamination_in_blocks_is_the_same(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
