@@ -3,7 +3,9 @@
 The chain predicts `severe` (three different toxic terms or more), then `repeated` (two or more),
 then `toxic`, the labelled category on which decisions rest. Each model sees a document's terms and
 the probabilities of the categories before it; in training those are out-of-fold predictions, so
-that a later model learns from predictions as good as those it gets in use. Terms are the hashed
+that a later model learns from predictions as good as those it gets in use; the terms for them are
+chosen without the rows left out, too, so that terms which are pure by chance show in the threshold.
+Terms are the hashed
 words and word stems (the first bytes, for inflected languages) that speak for the label; toxic terms, which define the first two categories, are those found
 in toxic documents only but for one in ten.
 
@@ -33,9 +35,9 @@ from corpus_search.llm.words import BY_LETTERS, ODD, U, Words, hashed_words, mix
 SAMPLE = 20_000
 STEMS = (4, 5, 6, 8)  # bytes
 PURE = 0.9
-TERMS = 128
-CANDIDATES = 2_000
-LEAST_Z = 8.0
+LEAST_ROWS, LEAST_Z = 3, 4.0  # support of a term, so that those of rare languages count as well
+TERMS = 2_048  # bound of the model; the terms needed to cover SAMPLE rows stay below it
+CANDIDATES = 100_000
 FOLDS = 5
 CATEGORIES = ("severe", "repeated", "toxic")
 SLOTS = 1 << 16
@@ -140,24 +142,47 @@ def _hits(terms: np.ndarray):
     return find
 
 
-def choose_terms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Columns of `x` (rows x candidate terms) to use. The best term is taken, the rows that hold it
-    are set aside, and so on: a term that only goes along with a chosen one is left with no row to
-    speak for it, unless it is frequent enough to stand by itself."""
-    chosen, open_rows = set(), np.ones(len(y), bool)
-    while len(chosen) < TERMS:
+def choose_terms(row: np.ndarray, place: np.ndarray, y: np.ndarray, size: int, used: np.ndarray) -> np.ndarray:
+    """Which of `size` candidate terms to use, by the rows that are `used`; row and place say which
+    row holds which term. The best term is taken, the rows that hold it are set aside, and so on: a
+    term that only goes along with a chosen one is left with no row to speak for it, unless it is
+    frequent enough to stand by itself."""
+    on = used[row]
+    row, place = row[on], place[on]
+    by_term = np.argsort(place, kind="stable")
+    rows_of, first = row[by_term], np.searchsorted(place[by_term], np.arange(size + 1))
+    by_row = np.argsort(row, kind="stable")
+    terms_of, start = place[by_row], np.searchsorted(row[by_row], np.arange(len(y) + 1))
+    n = np.bincount(place, minlength=size).astype(float)
+    with_y = np.bincount(place, y[row], size)
+    frequent = np.flatnonzero((with_y >= 0.98 * n) & (n >= 0.05 * y[used].sum() + 5))
+    frequent = frequent[np.argsort(-with_y[frequent], kind="stable")]
+    chosen, open_rows = [], used.copy()
+    while size and len(chosen) < TERMS:
         rate = y[open_rows].mean() if open_rows.any() else 0
-        n, with_y = x[open_rows].sum(axis=0), x[open_rows & (y > 0)].sum(axis=0)
         z = (with_y - n * rate) / np.sqrt(n * max(rate, 1e-4) * (1 - rate) + 1e-9)
-        z[(n < 3) | (with_y < PURE * n)] = 0
-        best = int(np.argmax(z)) if len(z) else 0
-        if not len(z) or z[best] < LEAST_Z:
+        z[(n < LEAST_ROWS) | (with_y < PURE * n)] = 0
+        best = int(np.argmax(z))
+        if z[best] < LEAST_Z:
             break
-        chosen.add(best)
-        open_rows &= ~x[:, best]
-    n, with_y = x.sum(axis=0), x[y > 0].sum(axis=0)
-    frequent = np.flatnonzero((with_y >= 0.98 * n) & (n >= 0.05 * y.sum() + 5))
-    return np.array(sorted(chosen | set(frequent[np.argsort(-with_y[frequent])][:TERMS])), np.int64)
+        chosen.append(best)
+        shut = rows_of[first[best] : first[best + 1]]
+        shut = shut[open_rows[shut]]
+        open_rows[shut] = False
+        for i in shut:
+            gone = terms_of[start[i] : start[i + 1]]
+            n[gone] -= 1
+            with_y[gone] -= y[i]
+    return np.unique(np.array([*chosen, *frequent], np.int64)[:TERMS])
+
+
+def dense(row: np.ndarray, place: np.ndarray, rows: int, chosen: np.ndarray) -> np.ndarray:
+    x = np.zeros((rows, len(chosen)))
+    if len(chosen):
+        at = np.searchsorted(chosen, place).clip(max=len(chosen) - 1)
+        on = chosen[at] == place
+        x[row[on], at[on]] = 1
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str) -> Chain:
@@ -173,29 +198,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     counts = sample.mapInArrow(_term_counts, "term long, n long, y double")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     z = (F.col("y") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    best = counts.withColumn("z", z).filter((F.col("y") >= PURE * F.col("n")) & (F.col("z") >= LEAST_Z))
-    best = best.orderBy(F.desc("z"), "term").limit(CANDIDATES).collect()
-    terms = np.sort(np.array([r["term"] for r in best], np.int64).astype(U))
+    best = counts.withColumn("z", z).filter((F.col("n") >= LEAST_ROWS) & (F.col("z") >= LEAST_Z))
+    # Purity is asked of the rows learned from only, so that the folds left out can speak against a term.
+    best = best.filter(F.col("y") >= 0.5 * F.col("n"))
+    best = best.orderBy(F.desc("z"), "term").limit(CANDIDATES).select("term").toArrow()
+    terms = np.sort(best.column("term").to_numpy().astype(U))
     if not len(terms):
         return Chain()
     data = sample.mapInArrow(_hits(terms), "label double, places array<long>").toArrow()
     y = np.array(data.column("label").to_pylist(), float)
     lists = data.column("places").combine_chunks()
-    x = np.zeros((len(y), len(terms)), bool)
-    x[np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
-    chosen = choose_terms(x, y)
-    chain, x = Chain(terms[chosen]), x[:, chosen].astype(float)
+    place = lists.flatten().to_numpy().astype(np.int32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    chosen = choose_terms(row, place, y, len(terms), np.ones(len(y), bool))
+    if not len(chosen):
+        return Chain()
+    chain, x = Chain(terms[chosen]), dense(row, place, len(y), chosen)
+    fold = np.random.default_rng(0).permutation(len(y)) % FOLDS
+    of_fold = [choose_terms(row, place, y, len(terms), fold != k) for k in range(FOLDS)]
     # All chosen terms are found in toxic documents only, but for one row in ten.
     family = (chain.terms & U(7)).astype(int)
     mentions = np.max([x[:, family == f].sum(axis=1) for f in range(len(STEMS) + 1)], axis=0)
     targets = (y * (mentions >= 3), y * (mentions >= 2), y)
-    fold = np.random.default_rng(0).permutation(len(y)) % FOLDS
     out_of_fold = np.zeros((len(y), 0))
     for target in targets:
         seen = np.column_stack([x, out_of_fold])
         p = np.zeros(len(y))
         for k in range(FOLDS):
-            p[fold == k] = linear(seen[fold == k], logistic(seen[fold != k], target[fold != k]))
+            with_k = np.column_stack([dense(row, place, len(y), of_fold[k]), out_of_fold])
+            p[fold == k] = linear(with_k[fold == k], logistic(with_k[fold != k], target[fold != k]))
         chain.models.append(logistic(seen, target))
         out_of_fold = np.column_stack([out_of_fold, p])
     chain.threshold = best_threshold(out_of_fold[:, -1], y)

@@ -151,6 +151,29 @@ def test_toxicity_finds_labelled_documents(spark, odd, empty):
     assert not toxicity.toxicity(docs, labels.limit(0)).filter("toxic").count()
 
 
+def test_toxicity_recall_per_language(spark):
+    """Six labelled documents of a rare language are enough for its terms."""
+    random.seed(29)
+    rows, labels, lang = [], [], {}
+    for i in range(700):
+        rare = i % 7 == 0
+        words = ["el", "rio", "verde", "casa", "camino"] if rare else ["the", "river", "green", "house", "walk"]
+        bad = i % 70 == 0 if rare else i % 7 == 3
+        text = random.choices(words, k=30) + [f"n{random.randrange(3000)}" for _ in range(10)] + ["bocoo" if rare else "awful"] * bad
+        rows.append((i, " ".join(text)))
+        lang[i] = (rare, bad)
+        if i < 421:
+            labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(docs, known).collect()}
+    for kind in (True, False):
+        bad = [i for i, (rare, b) in lang.items() if rare == kind and b]
+        assert sum(got[i] for i in bad) == len(bad)
+    clean = [i for i, (_, b) in lang.items() if not b]
+    assert sum(got[i] for i in clean) <= 0.01 * len(clean)
+
+
 def test_top_k_equals_brute_force(spark):
     random.seed(7)
     rows = [(i, [random.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(6)]) for i in range(700)]
