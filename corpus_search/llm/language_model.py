@@ -8,7 +8,8 @@ counts go into the first, and each further shard only adds the pairs that it hol
 scores do not depend on how many shards there are.
 
 Scoring: a key's marks are probed until one is missing, which gives its count up to a factor below
-two. p(w | v) = 0.7 c(vw) / c(v) + 0.3 (c(w) + 0.1) / (N + 0.1 (V + 1)); a text starts after an end.
+two. A pair counts as no more than either of its words, so one with an absent word is absent, too.
+p(w | v) = 0.7 c(vw) / c(v) + 0.3 (c(w) + 0.1) / (N + 0.1 (V + 1)); a text starts after an end.
 
 The base score needs exact word counts. Those of the most frequent words (at most HOT_WORDS, found
 by a threshold on the count) are sent to all tasks; a text's other words are joined with the table
@@ -34,8 +35,9 @@ from corpus_search.llm.tables import Stage, held_out, spread, whole
 from corpus_search.llm.words import BY_BLANKS, ODD, U, Words, hashed_words, mix
 
 FOLDS = 10
-PROBES = 3
-BITS_PER_MARK = 5
+#: An absent key seems present with a chance of (1 - exp(-7 / 12)) ** 7, one in 300.
+PROBES = 7
+BITS_PER_MARK = 12
 PART_BYTES = 32 << 20
 SHARD_BYTES = 256 << 20
 HOT_WORDS = 2_000_000
@@ -179,6 +181,7 @@ class Pieces:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """About the middle of the range of counts that leave the marks found; 0 without a mark."""
+        keys, back = np.unique(keys, return_inverse=True)
         part = part_of(keys, self.parts)
         level = np.zeros(len(keys), np.int64)
         alive = np.flatnonzero(self.size[part] > 0)
@@ -190,7 +193,17 @@ class Pieces:
                 at = self.base[p] + (marks(keys[alive], q, j) % self.size[p].astype(U)).astype(np.int64)
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             level[alive] = q
-        return np.where(level > 1, 1.4 * 2.0 ** (level - 1), level.astype(float))
+        return np.where(level > 1, 1.4 * 2.0 ** (level - 1), level.astype(float))[back]
+
+
+def _probabilities(tokens: np.ndarray, words: Pieces, pairs_held: Pieces, divisor: float):
+    """Each token's probability after the one before it, and the part of it without the pair."""
+    c1 = words.counts(tokens)
+    # Each row is closed by an end, which comes before the first token of the next one.
+    before = np.concatenate([words.counts(np.array([END])), c1[:-1]])
+    c2 = np.minimum(pairs_held.counts(pairs(tokens)), np.minimum(before, c1))
+    low = (1 - KEEP) * (c1 + ADD) / divisor
+    return low + KEEP * c2 / np.maximum(before, 1), low
 
 
 def _lookup(keys: np.ndarray, counts: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -227,13 +240,7 @@ def _scorer(hot, words_sent, pairs_sent, total: int, distinct: int, least: int):
                 known = np.bincount(row[exact > 0], minlength=rows)
                 rare = np.flatnonzero(~there)
                 offsets = np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)
-                c1 = word_pieces.counts(tokens)
-                before = np.concatenate([[0], c1[:-1]])
-                before[np.concatenate([[0], np.cumsum(n)[:-1]])] = word_pieces.counts(np.array([END]))[0]
-                keys = pairs(tokens)
-                c2 = pair_pieces.counts(keys)
-                low = (1 - KEEP) * (c1 + ADD) / divisor
-                p = low + KEEP * np.where(c2 > 0, c2 / np.maximum(np.maximum(before, c2), 1), 0)
+                p, _ = _probabilities(tokens, word_pieces, pair_pieces, divisor)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row_number + np.arange(rows)),
@@ -264,11 +271,7 @@ def _shard(sent, words_sent, total: int, distinct: int):
             for words in hashed_words(batch.column("text"), BY_BLANKS):
                 rows = words.last - words.first
                 tokens, row = with_ends(words)
-                c2 = sent.value.counts(pairs(tokens))
-                c1 = words_sent.value.counts(tokens)
-                before = np.concatenate([words_sent.value.counts(np.array([END])), c1[:-1]])
-                low = (1 - KEEP) * (c1 + ADD) / divisor
-                p = low + KEEP * np.where(c2 > 0, c2 / np.maximum(np.maximum(before, c2), 1), 0)
+                p, low = _probabilities(tokens, words_sent.value, sent.value, divisor)
                 more[words.first : words.last] = np.bincount(row, np.log10(p / low), rows)
             at = batch.schema.get_field_index("more")
             yield batch.set_column(at, "more", pa.array(batch.column(at).to_numpy() + more))

@@ -365,6 +365,39 @@ def test_base_scores_equal_brute_force(docs, odd, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_scores_equal_exact_bigram_counts(spark, docs):
+    """Counts rounded as the filter does; what is left are its false hits. Unseen words get no pair."""
+    random.seed(31)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    some = [t for _, text in rows for t in tokens(text)]
+    held = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += [(i, " ".join(f"g{random.random()}" if k % 2 else random.choice(some) for _ in range(300))) for k, i in enumerate(held)]
+    texts = {i: [None, *tokens(text), None] for i, text in rows}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    one, two = Counter(t for ts in train for t in ts[1:]), Counter(p for ts in train for p in zip(ts, ts[1:]))
+
+    def about(c):
+        return c if c < 2 else 1.4 * 2 ** math.floor(math.log2(c))
+
+    def exact(ts):
+        divisor = one.total() + 0.1 * (len(one) + 1)
+        for v, t in zip(ts, ts[1:]):
+            c1, before = about(one[t]), about(one[v])
+            yield math.log10(0.3 * (c1 + 0.1) / divisor + 0.7 * min(about(two[v, t]), c1, before) / max(before, 1))
+
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for some in ([i for i in got if i < 10**6], [i for i in got if got[i].held_out and i < 10**6], held[::2], held[1::2]):
+        more = sum(got[i].score - sum(exact(texts[i])) for i in some)
+        assert abs(more) < 0.03 * sum(got[i].n_tokens for i in some)
+
+
+def test_absent_keys_are_rarely_found():
+    keys = w.mix(np.arange(1, 50_000, dtype=np.uint64))
+    counts = np.random.default_rng(0).geometric(0.3, len(keys))
+    pieces = language_model.Pieces(1, {0: language_model._filter(keys, counts).tobytes()})
+    assert (pieces.counts(w.mix(np.arange(10**6, 11 * 10**5, dtype=np.uint64))) > 0).mean() < 0.005
+
+
 def test_filter_counts_are_within_a_factor_of_two():
     keys = w.mix(np.arange(1, 20_000, dtype=np.uint64))
     counts = np.random.default_rng(0).geometric(0.2, len(keys))
