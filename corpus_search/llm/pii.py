@@ -1,11 +1,13 @@
 """Personal data by candidates and gradient boosting, in DataFrame functions only.
 
 Generators propose spans of four kinds: the formats that always count if their digits hold up (the
-base), and wider ones that overlap them. Every candidate gets format and context features. The base
-labels candidates: valid ones are examples, and those that fail the kind's test (octets, Luhn, number
-of digits) are counter-examples; candidates are counted by feature vector over the whole corpus, and
-trees are boosted on the counts. A probability fitted on held-back texts and a threshold per kind
-(precision on those texts) decide which other candidates are added. Base spans always stay.
+base), and wider ones that overlap them. Those that fail the kind's test (octets, Luhn, number of
+digits) are no candidates; the others get format and context features. Candidates in a base format
+are examples. Loose ones (blanks around a bare @ or dot, no plus, other separators) read like prose,
+numbering or order numbers as well: they are examples after a cue word and counter-examples
+otherwise. Candidates are counted by feature vector over the whole corpus and a few fixed texts
+(KNOWN), and trees are boosted on the counts. A probability fitted on held-back texts and a threshold
+per kind (precision on those texts) decide which wide candidates are added. Base spans always stay.
 
 The patterns match what their plain forms match (see the README's table), but never try a start
 within a run again, so that long runs of digits or letters take linear time.
@@ -44,11 +46,20 @@ WIDE = {
 #: A text without the sign (or one of the digits) has no candidate of the kind.
 SIGN = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\x20?\\.\\x20?[0-9]", "card": "[0-9]{4}|[0-9][\\x20-][0-9]", "phone": "\\+[0-9]|[0-9]{3}[\\x20.-][0-9]{4}"}
 #: Words that often stand before a span.
-CUES = {"email": "mail|contact", "ip": "ip|host|server|address", "card": "card|visa|pay", "phone": "tel|phone|call|fax|mobil"}
+CUES = {"email": "e?-?mail|contact", "ip": "ip\\b|host|server|address", "card": "card|visa|pay", "phone": "tel\\b|tele|phone|call|fax|mobil"}
+#: What tells a span that is not in a base format.
+LOOSE = {"email": r"^(?!.*[(\[]at[)\]].*[(\[]dot[)\]]).*[\x20(\[]", "ip": r"\x20", "card": r"[./_]|[\x20-]{2}", "phone": r"^[^+]"}
+#: Texts to learn from besides the corpus, so often each, that a rare form does not go unjudged.
+KNOWN = (
+    "look @ home. Then", "we met @ noon. After", "1. 2. 3. 4", "see 2 . 1 . 4 . 3", "order 123-456-7890", "no 555 123 4567",
+    "4111.1111.1111.1111", "mail ann @ site. org", "contact: ann@site .org", "server 10. 0. 0. 7", "host 10 . 0 . 0 . 7",
+    "call 123-456-7890", "phone (555) 123-4567", "card 4111.1111.1111.1111", "visa 4111/1111/1111/1111",
+)
+TIMES = 20
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PRECISION = 0.99
 BLOCK = 512
-FEATURES = ("kind", "digits", "length", "valid", "separators", "before", "after", "cue", "plus")
+FEATURES = ("kind", "digits", "length", "loose", "separators", "before", "after", "cue", "plus")
 
 
 def starts(gaps: Column, lengths: Column) -> Column:
@@ -142,19 +153,19 @@ def features(kind: str, span: Column, text: Column) -> Column:
         F.lit(KINDS.index(kind)),
         F.least(F.char_length(digits(x)), F.lit(20)),
         F.least(F.floor(F.char_length(x) / 4), F.lit(15)).cast("int"),
-        valid(kind, x).cast("int"),
+        x.rlike(LOOSE[kind]).cast("int"),
         sum(kinds[1:], kinds[0]),
         _class(before),
         _class(F.substring(text, (e + 1).cast("int"), F.lit(1))),
-        near.rlike(CUES[kind]).cast("int"),
+        near.rlike(rf"\b(?:{CUES[kind]})").cast("int"),
         x.contains("+").cast("int"),
     )
     return F.struct(*(v.alias(f) for f, v in zip(FEATURES, values, strict=True)))
 
 
 def candidates(df: DataFrame, text_col: str = "_text") -> DataFrame:
-    """Adds, per kind, the base matches (`b_`), the valid ones (`v_`) and the wide ones that do not
-    overlap a valid one (`w_`)."""
+    """Adds, per kind, the base matches (`b_`), the valid ones (`v_`) and the valid wide ones that do
+    not overlap one of these (`w_`)."""
     text = F.col(text_col)
     for prefix, patterns in (("b", BASE), ("w", WIDE)):
         df = df.withColumns(
@@ -171,7 +182,7 @@ def candidates(df: DataFrame, text_col: str = "_text") -> DataFrame:
     apart = {
         f"w_{k}": F.filter(
             f"w_{k}",
-            lambda w: ~F.exists(f"v_{k}", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])),
+            lambda w: ~F.exists(f"v_{k}", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])) & valid(k, w["x"]),
         )
         for k in KINDS
     }
@@ -197,22 +208,23 @@ def fit(df: DataFrame) -> Model:
     number of vectors has a bound that does not depend on the corpus.
     """
     text = F.col("_text")
-    found = candidates(df.select("_text"))
+    spark = df.sparkSession
+    known = spark.range(2 * TIMES).select(
+        F.explode(F.array(*map(F.lit, KNOWN))).alias("_text"), (F.col("id") % 2 == 0).alias("back")
+    )
+    rows = df.select("_text", (F.crc32(text.cast("binary")) % 5 == 0).alias("back")).unionAll(known)
+    found = candidates(rows)
 
     def examples(k: str) -> Column:
-        base = F.transform(
-            f"b_{k}",
-            lambda b: F.struct(features(k, b, text).alias("f"), valid(k, b["x"]).cast("int").alias("y")),
-        )
-        wide = F.transform(
-            F.filter(f"w_{k}", lambda w: ~valid(k, w["x"])),
-            lambda w: F.struct(features(k, w, text).alias("f"), F.lit(0).alias("y")),
-        )
-        return F.concat(base, wide)
+        def labelled(c: Column) -> Column:
+            f = features(k, c, text)
+            return F.struct(f.alias("f"), F.when((f["loose"] == 0) | (f["cue"] == 1), 1).otherwise(0).alias("y"))
 
-    rows = found.select(
-        (F.crc32(text.cast("binary")) % 5 == 0).alias("back"), F.explode(F.concat(*map(examples, KINDS))).alias("c")
-    )
+        base = F.transform(f"v_{k}", lambda b: F.struct(features(k, b, text).alias("f"), F.lit(1).alias("y")))
+        # A strict form that only stands next to other digits is not told from a base one by its form.
+        return F.concat(base, F.filter(F.transform(f"w_{k}", labelled), lambda c: c["f"]["loose"] == 1))
+
+    rows = found.select("back", F.explode(F.concat(*map(examples, KINDS))).alias("c"))
     counts = rows.groupBy("back", *(F.col(f"c.f.{f}") for f in FEATURES)).agg(
         F.sum("c.y").alias("yes"), F.sum(1 - F.col("c.y")).alias("no")
     )
