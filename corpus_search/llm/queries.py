@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.llm import (
+    centroids,
     decontamination,
+    hard_negatives,
     html_extract,
     knn_join,
     language_model,
@@ -18,6 +20,7 @@ from corpus_search.llm import (
     quality,
     token_counts,
     toxicity,
+    url_filter,
 )
 from corpus_search.llm.tables import table
 
@@ -66,6 +69,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh label is moved on."""
+    of, label = F.col("vec_id"), F.col("label").cast("long")
+    return hard_negatives.mine(
+        table(spark, sf_dir, "embeddings"),
+        is_anchor=of % 100 == 0,
+        label=F.when(of % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_quality,
         op10_packing,
+        op11_hard_negatives,
+        op12_url_filter,
+        op13_centroids,
     )
 }
 
@@ -103,4 +127,7 @@ r AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_url_filter": url_filter.oracle_sql(),
+    "op13_centroids": centroids.oracle_sql(),
 }
