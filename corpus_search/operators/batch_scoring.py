@@ -69,6 +69,19 @@ def fits_batch(prepared: DataFrame) -> bool:
     return n_queries <= MAX_QUERIES and n_words <= MAX_WORDS
 
 
+def batch_of(ids: list[int], words: list[list[str]], vectors: list[list[float]]) -> QueryBatch:
+    """The arrays of some queries; a query's words are distinct."""
+    pairs = sorted((word, position) for position, own in enumerate(words) for word in own)
+    tokens, counts = np.unique([word for word, _ in pairs], return_counts=True)
+    return QueryBatch(
+        ids=np.array(ids, dtype=np.int64),
+        vectors=np.array(vectors, dtype=np.float64),
+        tokens=tokens.tolist(),
+        starts=np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
+        members=np.array([position for _, position in pairs], dtype=np.int64),
+    )
+
+
 def query_batch(prepared: DataFrame, query_vectors: DataFrame) -> QueryBatch:
     """Only for queries that pass `fits_batch`, since they are collected and sent to all tasks."""
     if not fits_batch(prepared):
@@ -78,15 +91,70 @@ def query_batch(prepared: DataFrame, query_vectors: DataFrame) -> QueryBatch:
         .select("query_id", F.array_distinct("words").alias("words"), "query_embedding")
         .collect()
     )
-    pairs = sorted((word, position) for position, row in enumerate(rows) for word in row["words"])
-    tokens, counts = np.unique([word for word, _ in pairs], return_counts=True)
-    return QueryBatch(
-        ids=np.array([row["query_id"] for row in rows], dtype=np.int64),
-        vectors=np.array([row["query_embedding"] for row in rows], dtype=np.float64),
-        tokens=tokens.tolist(),
-        starts=np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
-        members=np.array([position for _, position in pairs], dtype=np.int64),
+    return batch_of(*([row[i] for row in rows] for i in range(3)))
+
+
+def score_rows(
+    part: pa.RecordBatch,
+    queries: QueryBatch,
+    vocabulary: pa.Array,
+    best: np.ndarray,
+    positive: bool = True,
+) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Chunks against queries: the pairs with a common token whose cosine is among the best so far,
+    and the best so far (a column per query, lowest first in no other order). Pairs equal to the
+    lowest stay, so ties are settled later."""
+    n_rows, n_queries = part.num_rows, len(queries.ids)
+    lists = part.column("tokens")
+    row = np.repeat(np.arange(n_rows), pc.list_value_length(lists).to_numpy())
+    code = pc.index_in(lists.flatten(), vocabulary)
+    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    row, weight = row[known], part.column("scores").flatten().to_numpy()[known]
+    code = pc.drop_null(code).to_numpy()
+
+    # One entry for every token of a chunk and every query with that token.
+    first, fan_out = queries.starts[code], queries.starts[code + 1] - queries.starts[code]
+    within = np.arange(fan_out.sum()) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
+    query = queries.members[np.repeat(first, fan_out) + within]
+    cell = np.repeat(row, fan_out) * n_queries + query
+    shape = (n_rows, n_queries)
+    size = n_rows * n_queries
+    lexical = np.bincount(cell, np.repeat(weight, fan_out), size).reshape(shape)
+    matched = np.bincount(cell, minlength=size).reshape(shape) > 0
+
+    vectors = part.column("embedding").flatten().to_numpy().astype(np.float64)
+    products = vectors.reshape(n_rows, -1) @ queries.vectors.T
+    # Adding zero turns a negative zero into zero.
+    cosine = (np.rint(products * COSINE_SCALE) / COSINE_SCALE + 0.0).astype(np.float32)
+    fits = matched & np.isfinite(cosine)
+    cosine[~(fits & (cosine > 0) if positive else fits)] = -np.inf
+    best = np.partition(np.concatenate([best, cosine]), n_rows, axis=0)[n_rows:]
+    at_row, at_query = np.nonzero(np.isfinite(cosine) & (cosine >= best[0]))
+    kept = pa.RecordBatch.from_arrays(
+        [
+            pa.array(queries.ids[at_query]),
+            part.column("video_id").take(pa.array(at_row)),
+            part.column("chunk_index").take(pa.array(at_row)),
+            # Counting nothing gives integers.
+            pa.array(lexical[at_row, at_query], pa.float64()),
+            pa.array(cosine[at_row, at_query]),
+        ],
+        names=["query_id", "video_id", "chunk_index", "lexical_score", "cosine"],
     )
+    return kept, best
+
+
+def score_batches(
+    parts: Iterator[pa.RecordBatch], queries: QueryBatch, cut: int, cells: int, positive: bool = True
+) -> Iterator[pa.RecordBatch]:
+    """All chunks of a task against the queries, `cells` pairs at a time."""
+    vocabulary = pa.array(queries.tokens, pa.string())
+    step = max(1, cells // len(queries.ids))
+    best = np.full((cut, len(queries.ids)), -np.inf, dtype=np.float32)
+    for part in parts:
+        for at in range(0, part.num_rows, step):
+            kept, best = score_rows(part.slice(at, step), queries, vocabulary, best, positive)
+            yield kept
 
 
 def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
@@ -95,59 +163,10 @@ def best_in_place(rows: DataFrame, batch: QueryBatch, cut: int) -> DataFrame:
     if len(batch.ids) == 0:
         return rows.sparkSession.createDataFrame([], f"{OUTPUT}, dense_rank int")
     shared = rows.sparkSession.sparkContext.broadcast(vars(batch))
-    cells, scale = CELLS, COSINE_SCALE
-
-    def score(
-        part: pa.RecordBatch, vocabulary: pa.Array, best: np.ndarray
-    ) -> tuple[pa.RecordBatch, np.ndarray]:
-        queries = shared.value
-        starts, members = queries["starts"], queries["members"]
-        n_rows, n_queries = part.num_rows, len(queries["ids"])
-        lists = part.column("tokens")
-        row = np.repeat(np.arange(n_rows), pc.list_value_length(lists).to_numpy())
-        code = pc.index_in(lists.flatten(), vocabulary)
-        known = pc.is_valid(code).to_numpy(zero_copy_only=False)
-        row, weight = row[known], part.column("scores").flatten().to_numpy()[known]
-        code = pc.drop_null(code).to_numpy()
-
-        # One entry for every token of a chunk and every query with that token.
-        first, fan_out = starts[code], starts[code + 1] - starts[code]
-        within = np.arange(fan_out.sum()) - np.repeat(np.cumsum(fan_out) - fan_out, fan_out)
-        query = members[np.repeat(first, fan_out) + within]
-        cell = np.repeat(row, fan_out) * n_queries + query
-        shape = (n_rows, n_queries)
-        size = n_rows * n_queries
-        lexical = np.bincount(cell, np.repeat(weight, fan_out), size).reshape(shape)
-        matched = np.bincount(cell, minlength=size).reshape(shape) > 0
-
-        vectors = part.column("embedding").flatten().to_numpy().astype(np.float64)
-        products = vectors.reshape(n_rows, -1) @ queries["vectors"].T
-        cosine = (np.rint(products * scale) / scale).astype(np.float32)
-        cosine[~(matched & np.isfinite(cosine) & (cosine > 0))] = -np.inf
-        # The `cut` best cosines of this task so far, lowest first in no other order. Rows equal to
-        # the lowest stay, so ties are settled later.
-        best = np.partition(np.concatenate([best, cosine]), n_rows, axis=0)[n_rows:]
-        at_row, at_query = np.nonzero(np.isfinite(cosine) & (cosine >= best[0]))
-        kept = pa.RecordBatch.from_arrays(
-            [
-                pa.array(queries["ids"][at_query]),
-                part.column("video_id").take(pa.array(at_row)),
-                part.column("chunk_index").take(pa.array(at_row)),
-                pa.array(lexical[at_row, at_query]),
-                pa.array(cosine[at_row, at_query]),
-            ],
-            names=["query_id", "video_id", "chunk_index", "lexical_score", "cosine"],
-        )
-        return kept, best
+    cells = CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(shared.value["tokens"], pa.string())
-        n_queries = len(shared.value["ids"])
-        best = np.full((cut, n_queries), -np.inf, dtype=np.float32)
-        for part in batches:
-            for at in range(0, part.num_rows, max(1, cells // n_queries)):
-                kept, best = score(part.slice(at, max(1, cells // n_queries)), vocabulary, best)
-                yield kept
+        return score_batches(batches, QueryBatch(**shared.value), cut, cells)
 
     scored = rows.select(*CHUNK_KEY, "tokens", "scores", "embedding").mapInArrow(run, OUTPUT)
     return best_per_query(scored, "cosine", cut, "dense_rank")

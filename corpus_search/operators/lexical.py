@@ -53,8 +53,8 @@ def corpus_statistics(tokens: DataFrame) -> DataFrame:
     )
 
 
-def term_frequencies(tokens: DataFrame) -> DataFrame:
-    """video_id, chunk_index, n_tokens, token, tf.
+def term_frequencies(tokens: DataFrame, *others: str) -> DataFrame:
+    """video_id, chunk_index, n_tokens, the `others`, token, tf.
 
     The outer explode keeps Catalyst from filtering on the size of the token array, which would
     compute the tokens a second time.
@@ -64,12 +64,14 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
             "video_id",
             "chunk_index",
             "n_tokens",
+            *others,
             F.explode_outer(run_lengths(F.col("tokens"))).alias("term"),
         )
         .select(
             "video_id",
             "chunk_index",
             "n_tokens",
+            *others,
             F.col("term.value").alias("token"),
             F.col("term.count").alias("tf"),
         )
@@ -88,6 +90,12 @@ def inverse_document_frequencies(frequencies: DataFrame, n_chunks: Column) -> Da
     )
 
 
+def saturation(tf: Column, length: Column, k1: float, b: float) -> Column:
+    """The part of a score that a chunk decides; `length` is relative to the mean. It grows with
+    `tf` and falls with `length`."""
+    return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length))
+
+
 def bm25_scores(
     chunks: DataFrame,
     k1: float = BM25_K1,
@@ -115,8 +123,8 @@ def bm25_scores(
         weighted = terms.join(F.broadcast(idf), "token")
     else:
         weighted = join_by_weight(terms, idf, "token", "df", heavy_keys)
-    tf, length = F.col("tf"), F.col("n_tokens") / statistics["avg_n_tokens"]
-    score = F.col("idf") * ((tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length)))
+    length = F.col("n_tokens") / statistics["avg_n_tokens"]
+    score = F.col("idf") * saturation(F.col("tf"), length, k1, b)
     return weighted.select("video_id", "chunk_index", "token", score.alias("score"))
 
 

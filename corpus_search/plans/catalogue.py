@@ -21,10 +21,13 @@ from corpus_search.operators import (
     ingest,
     knowledge,
     lexical,
+    postings,
     prompts,
+    pruned_ranking,
     reranking,
     retrieval,
     spelling,
+    tiled_scoring,
 )
 from corpus_search.plans import derived as dv
 from corpus_search.plans import search as search_plan
@@ -90,6 +93,14 @@ def rebuild_bm25(spark, d):
     )
 
 
+def append_bm25(spark, d):
+    """The index after three appended versions, of which none reads or writes the others' postings."""
+    scores = postings.current_scores(dv.grown_index(spark, d))
+    return scores.groupBy("token").agg(
+        F.count("*").alias("n_chunks"), F.round(F.sum("score"), 4).alias("total_score")
+    )
+
+
 def append_transcripts(spark, d):
     both = snapshots.append_new(dv.known_transcripts(spark, d), dv.transcripts(spark, d))
     return snapshots.sorted_transcripts(both).select(
@@ -371,6 +382,10 @@ def bm25(spark, d):
     return lexical.bm25_scores(dv.chunks(spark, d)).withColumn("score", r6("score"))
 
 
+def bm25_of_versions(spark, d):
+    return postings.current_scores(dv.grown_index(spark, d)).withColumn("score", r6("score"))
+
+
 # --- knowledge base ------------------------------------------------------------------------------
 
 
@@ -446,6 +461,24 @@ def lexical_scores(spark, d):
     return found.withColumn("lexical_score", r6("lexical_score"))
 
 
+def lexical_scores_of_postings(spark, d):
+    found = postings.current_candidates(
+        dv.grown_index(spark, d), retrieval.query_tokens(dv.index(spark, d).prepared)
+    )
+    return found.withColumn("lexical_score", r6("lexical_score"))
+
+
+def _pruned(spark, d, cut):
+    tokens = retrieval.query_tokens(dv.index(spark, d).prepared)
+    return pruned_ranking.best_lexical(
+        dv.grown_index(spark, d), tokens, cut, staging_folder(spark)
+    )
+
+
+def lexical_top_pruned(spark, d):
+    return _pruned(spark, d, 250).best.withColumn("lexical_score", r6("lexical_score"))
+
+
 def candidate_passages(spark, d):
     ix = dv.index(spark, d)
     found = retrieval.lexical_candidates(ix.bm25, retrieval.query_tokens(ix.prepared))
@@ -507,6 +540,29 @@ def dense_top_in_place(spark, d):
     return _dense_columns(batch_scoring.best_in_place(ix.rows, batch, dv.SEARCH.dense_cut))
 
 
+def dense_top_by_tiles(spark, d):
+    """Every document's title as a query, against all chunks."""
+    asked = dv.titles_as_queries(spark, d)
+    vectors = embedding.embed_queries(asked, dv.EMBEDDER)
+    tiles, n_tiles = tiled_scoring.query_tiles(asked, vectors)
+    rows = dv.index(spark, d).rows
+    return _dense_columns(
+        tiled_scoring.best_by_tiles(rows, tiles, n_tiles, dv.SEARCH.dense_cut)
+    )
+
+
+def search_by_tiles(spark, d):
+    """The search with its queries in tiles of 16, for as many as there may be."""
+    ix = dv.index(spark, d)
+    dense = search_plan.tiled_candidates(ix.prepared, ix.rows, dv.SEARCH, dv.EMBEDDER, 16)
+    scored = retrieval.with_relevance(
+        dense, ix.knowledge, ix.prepared, dv.RERANKER, dv.SEARCH.dense_cut * ix.prepared.count()
+    )
+    return retrieval.result_columns(
+        retrieval.top_results(scored, dv.SEARCH), dv.SEARCH.url_prefix
+    )
+
+
 def search_by_joins(spark, d):
     ix = dv.index(spark, d)
     return search_plan.search(
@@ -609,6 +665,17 @@ def fusion(spark, d):
     return fused.select("query_id", "video_id", "chunk_index", r6("fused_score").alias("score"))
 
 
+def fusion_pruned(spark, d):
+    """The same fusion, with both rankings cut where they are found."""
+    ix = dv.index(spark, d)
+    tiles, n_tiles = tiled_scoring.query_tiles(
+        ix.prepared, embedding.embed_queries(ix.prepared, dv.EMBEDDER)
+    )
+    dense = tiled_scoring.best_by_tiles(ix.rows, tiles, n_tiles, 250, positive=False)
+    fused = evaluation.fused_rankings(_pruned(spark, d, 250).best, dense, 250)
+    return fused.select("query_id", "video_id", "chunk_index", r6("fused_score").alias("score"))
+
+
 # --- model surfaces, streaming -------------------------------------------------------------------
 
 
@@ -669,6 +736,7 @@ QUERIES: dict[str, Query] = {
     "a3_typed_empty_table": typed_empty,
     "a4_append_chunks": append_chunks,
     "a5_rebuild_bm25": rebuild_bm25,
+    "a5_append_bm25": append_bm25,
     "a6_append_transcripts": append_transcripts,
     "a7_atomic_publish": atomic_publish,
     "a8_publish_gates": publish_gates,
@@ -704,6 +772,7 @@ QUERIES: dict[str, Query] = {
     "l5_term_frequency": _terms,
     "l6_idf": idf,
     "l7_bm25_scores": bm25,
+    "l7_bm25_of_versions": bm25_of_versions,
     "k1_chunk_count": counts,
     "k2_title_join": titled_chunks,
     "k3_marks": marks,
@@ -714,12 +783,15 @@ QUERIES: dict[str, Query] = {
     "q4_corrected_query": rejoined_queries,
     "r1_token_membership": membership,
     "r2_lexical_score": lexical_scores,
+    "r2_lexical_score_of_postings": lexical_scores_of_postings,
+    "r2_lexical_top_pruned": lexical_top_pruned,
     "r3_passages": candidate_passages,
     "r4_cosine_of_vectors": cosine_of_vectors,
     "r4_cosine_similarity": similarities,
     "r5_positive_similarity": positive,
     "r6_dense_top": dense_top,
     "r6_dense_top_in_place": dense_top_in_place,
+    "r6_dense_top_by_tiles": dense_top_by_tiles,
     "r7_titled_passage": titled_passages,
     "r8_rerank_score": rerank_scores,
     "r9_relevance_threshold": threshold,
@@ -727,6 +799,7 @@ QUERIES: dict[str, Query] = {
     "r11_result_columns": result_columns,
     "r12_search": search,
     "r12_search_by_joins": search_by_joins,
+    "r12_search_by_tiles": search_by_tiles,
     "p1_context_blocks": context_blocks,
     "p2_user_prompts": user_prompts,
     "p3_system_prompts": system_prompts,
@@ -737,6 +810,7 @@ QUERIES: dict[str, Query] = {
     "e1_recall": recall,
     "e2_threshold_sweep": sweep,
     "e3_rank_fusion": fusion,
+    "e3_rank_fusion_pruned": fusion_pruned,
     "u1_model_embedder": model_embeddings,
     "u2_model_reranker": model_relevance,
     "u3_completion_merge": completion_merge,

@@ -12,16 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_search.functions.text import clean, document_words
+from corpus_search.functions.text import clean, document_words, query_words
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
 from corpus_search.operators.lexical import build_bm25
+from corpus_search.operators.postings import LexicalIndex
 from corpus_search.operators.reranking import overlap_reranker
 from corpus_search.operators.spelling import prepare_queries, word_dictionary
+from corpus_search.plans.build import append_documents, open_lexical
 from corpus_search.plans.search import open_index, scored_candidates
 from corpus_search.settings import IndexSettings, SearchSettings
 from corpus_search.sources.staging import stage, staging_folder
-from corpus_search.sources.tables import read_parquet, spread
+from corpus_search.sources.tables import read_parquet, spread, state_of
 
 INDEX = IndexSettings(chunk_size=64, embedding_width=64)
 SEARCH = SearchSettings()
@@ -136,17 +138,29 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, video_id of the documents that hold the whole query text.
+def titles_as_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles of all documents as prepared queries: as many as there are documents. All their
+    words are in the corpus, so none is corrected."""
+    words = query_words(F.col("title"))
+    return transcripts(spark, sf_dir).select(
+        F.col("video_id").cast("bigint").alias("query_id"),
+        F.col("title").alias("query"),
+        F.array_join(words, " ").alias("corrected"),
+        words.alias("words"),
+    )
+
+
+def holders(queries: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """query_id, video_id of the documents that hold the whole text of a query. A blank query is
+    held by none.
 
-    Words two to seven of the query are whole words of such a document, so an equi-join on runs of
-    six words finds all of them and the text comparison decides. Every query has eight words.
+    All words of a held query but its first and last are whole words of the document, and those two
+    end and begin words of it. So documents meet queries of eight words and more by runs of six
+    words, and shorter ones by a word that holds the query's longest word, found over the corpus's
+    different words by a run of up to three characters. The comparison of the texts decides.
     """
-    wanted = queries(spark, sf_dir).select(
-        "query_id", "query", F.array_join(F.slice(document_words(F.col("query")), 2, SHINGLE), " ")
-        .alias("shingle"),
-    )
-    words = transcripts(spark, sf_dir).select(
+    wanted = queries.select("query_id", "query", document_words(F.col("query")).alias("asked"))
+    words = transcripts.select(
         "video_id", "transcript", document_words(F.col("transcript")).alias("words")
     )
     runs = F.transform(
@@ -157,11 +171,42 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_id",
         F.explode(F.array_distinct(F.when(F.size("words") >= SHINGLE, runs))).alias("shingle"),
     )
-    pairs = shingles.join(wanted.select("query_id", "shingle"), "shingle").select(
-        "query_id", "video_id"
+    long = wanted.filter(F.size("asked") >= SHINGLE + 2).select(
+        "query_id", F.array_join(F.slice("asked", 2, SHINGLE), " ").alias("shingle")
+    )
+    by_runs = shingles.join(long, "shingle").select("query_id", "video_id")
+
+    of = words.select("video_id", F.explode(F.array_distinct("words")).alias("word"))
+    longest = F.array_max(
+        F.transform("asked", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("part")))
+    )
+    short = (
+        wanted.filter(F.size("asked").between(1, SHINGLE + 1))
+        .select("query_id", longest.alias("longest"))
+        .select("query_id", "longest.part", F.substring("longest.part", 1, 3).alias("gram"))
+    )
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.char_length("word")),
+            lambda at: F.transform(
+                F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("word"), at, n)
+            ),
+        )
+    )
+    met = (
+        of.select("word")
+        .distinct()
+        .select("word", F.explode(F.array_distinct(grams)).alias("gram"))
+        .join(short, "gram")
+        .filter(F.contains("word", "part"))
+        .select("query_id", "word")
+        .distinct()
     )
+    by_words = of.join(met, "word").select("query_id", "video_id")
     return (
-        pairs.join(wanted.select("query_id", "query"), "query_id")
+        by_runs.unionByName(by_words)
+        .distinct()
+        .join(wanted.select("query_id", "query"), "query_id")
         .join(words.select("video_id", "transcript"), "video_id")
         .filter(F.contains("transcript", "query"))
         .select("query_id", "video_id")
@@ -169,6 +214,10 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holders(queries(spark, sf_dir), transcripts(spark, sf_dir))
+
+
 @dataclass(frozen=True)
 class Index:
     """Stored tables of one data set, and its prepared queries."""
@@ -210,12 +259,35 @@ def build_index(spark: SparkSession, sf_dir: str) -> Index:
     )
 
 
-_indexes: dict[tuple[str, str], Index] = {}
+def publish_versions(spark: SparkSession, sf_dir: str) -> str:
+    """The root of an index to which all documents were added in three versions."""
+    folder = staging_folder(spark)
+    documents = stage(transcripts(spark, sf_dir), f"{folder}/transcripts")
+    root = f"{folder}/tables"
+    for version in range(3):
+        part = documents.filter(F.crc32("video_id") % 3 == version)
+        chunks = embed_chunks(split_documents(part, INDEX), EMBEDDER, INDEX.embedding_width)
+        append_documents(spark, root, part, chunks, f"{folder}/{version}")
+    return root
+
+
+_kept: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
+    """Built once per application and state of the data set's files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    state = state_of(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet")
+    if key not in _kept or _kept[key][0] != state:
+        _kept[key] = (state, build(spark, sf_dir))
+    return _kept[key][1]
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of a data set, built once per application as the nightly run would build it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        _indexes[key] = build_index(spark, sf_dir)
-    return _indexes[key]
+    """The index of a data set as the nightly run would build it."""
+    return _once(spark, sf_dir, "index", build_index)
+
+
+def grown_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The lexical index of the same documents, appended in three versions."""
+    return open_lexical(spark, _once(spark, sf_dir, "versions", publish_versions))

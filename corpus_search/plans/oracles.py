@@ -230,6 +230,22 @@ RELATIONS: dict[str, str] = {
     "x_dense": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
             ORDER BY cosine DESC, video_id, chunk_index) AS dense_rank
           FROM x_similar WHERE cosine > 0) WHERE dense_rank <= {SEARCH.dense_cut}""",
+    "x_title_queries": f"""SELECT video_id::BIGINT AS query_id, {query_words('title')} AS w
+        FROM x_transcripts""",
+    "x_title_tokens": """SELECT DISTINCT query_id, token
+        FROM (SELECT query_id, unnest(w) AS token FROM x_title_queries)""",
+    "x_title_slots": f"""SELECT query_id, {hash_slots("array_to_string(w, ' ')")} AS slots
+        FROM x_title_queries""",
+    "x_title_vectors": f"""SELECT query_id,
+          list_transform(v, lambda x: (x / n)::FLOAT::DOUBLE) AS q
+        FROM (SELECT query_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n
+              FROM (SELECT query_id, {SIGNED_COUNTS} AS v FROM x_title_slots))""",
+    "x_title_similar": """SELECT query_id, video_id, chunk_index, lexical_score,
+          (round_even(list_dot_product(embedding::DOUBLE[], q) * 10000000, 0) / 10000000 + 0.0)::FLOAT
+            AS cosine
+        FROM (SELECT query_id, video_id, chunk_index, sum(score) AS lexical_score
+              FROM x_bm25 JOIN x_title_tokens USING (token) GROUP BY ALL)
+        JOIN x_vectors USING (video_id, chunk_index) JOIN x_title_vectors USING (query_id)""",
     "x_pairs": f"""SELECT d.*, title, "start", "end", chunk, corrected,
           list_distinct({query_words('corrected')}) AS wanted,
           array_to_string({query_words('corrected')}, ' ') AS phrase,
@@ -266,6 +282,20 @@ RELATIONS: dict[str, str] = {
 DENSE = """SELECT query_id, video_id, chunk_index, dense_rank, round(cosine::DOUBLE, 6) AS cosine,
     round(lexical_score, 6) AS lexical_score FROM x_dense"""
 
+FUSION = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS r FROM x_similar),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY cosine DESC, video_id, chunk_index) AS r FROM x_similar)
+    SELECT query_id, video_id, chunk_index, round(sum(1 / ({FUSION_CONSTANT} + r)), 6) AS score
+    FROM (SELECT query_id, video_id, chunk_index, r FROM l WHERE r <= 250 UNION ALL
+          SELECT query_id, video_id, chunk_index, r FROM c WHERE r <= 250) GROUP BY ALL"""
+
+LEXICAL_TOP = """SELECT query_id, video_id, chunk_index, lexical_rank,
+    round(round_even(lexical_score * 1e9, 0) / 1e9, 6) AS lexical_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS lexical_rank
+          FROM x_lexical) WHERE lexical_rank <= 250"""
+
 STATEMENTS: dict[str, str] = {
     "a1_parquet_scan": "SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en'",
     "a2_listing_json": """SELECT channel_id, video_id, published_at, title, 'video' AS kind
@@ -275,6 +305,8 @@ STATEMENTS: dict[str, str] = {
     "a4_append_chunks": "SELECT video_id, chunk_index, chunk FROM x_chunks",
     "a5_rebuild_bm25": """SELECT token, count(*) AS n_chunks, round(sum(score), 4) AS total_score
         FROM x_bm25 GROUP BY token""",
+    "a5_append_bm25": """SELECT token, count(*) AS n_chunks, round(sum(score), 4) AS total_score
+        FROM x_bm25 GROUP BY token""",
     "a6_append_transcripts": """SELECT video_id, creation_date::VARCHAR AS creation_date, title,
         transcript FROM x_transcripts""",
     "a7_atomic_publish": """SELECT 'transcripts' AS table_name, count(*) AS n_rows
@@ -370,6 +402,8 @@ STATEMENTS: dict[str, str] = {
     "l5_term_frequency": "SELECT video_id, chunk_index, n_tokens, token, tf FROM x_terms",
     "l6_idf": "SELECT token, df, round(idf, 6) AS idf FROM x_idf",
     "l7_bm25_scores": "SELECT video_id, chunk_index, token, round(score, 6) AS score FROM x_bm25",
+    "l7_bm25_of_versions": """SELECT video_id, chunk_index, token, round(score, 6) AS score
+        FROM x_bm25""",
     "k1_chunk_count": "SELECT video_id, chunk_count FROM x_counts",
     "k2_title_join": """SELECT video_id, chunk_index, title FROM x_knowledge WHERE video_id NOT IN
         (SELECT video_id FROM x_labels WHERE toxic = 1)""",
@@ -385,6 +419,9 @@ STATEMENTS: dict[str, str] = {
         FROM x_bm25 JOIN x_query_tokens USING (token)""",
     "r2_lexical_score": """SELECT query_id, video_id, chunk_index,
         round(lexical_score, 6) AS lexical_score FROM x_lexical""",
+    "r2_lexical_score_of_postings": """SELECT query_id, video_id, chunk_index,
+        round(lexical_score, 6) AS lexical_score FROM x_lexical""",
+    "r2_lexical_top_pruned": LEXICAL_TOP,
     "r3_passages": """SELECT query_id, video_id, chunk_index, title, "start", "end",
         length(chunk) AS n FROM x_lexical JOIN x_knowledge USING (video_id, chunk_index)""",
     "r4_cosine_of_vectors": """WITH m AS (
@@ -402,6 +439,11 @@ STATEMENTS: dict[str, str] = {
         round(cosine::DOUBLE, 6) AS cosine FROM x_similar) WHERE cosine > 0""",
     "r6_dense_top": DENSE,
     "r6_dense_top_in_place": DENSE,
+    "r6_dense_top_by_tiles": f"""SELECT query_id, video_id, chunk_index, dense_rank,
+        round(cosine::DOUBLE, 6) AS cosine, round(lexical_score, 6) AS lexical_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY cosine DESC, video_id, chunk_index) AS dense_rank
+          FROM x_title_similar WHERE cosine > 0) WHERE dense_rank <= {SEARCH.dense_cut}""",
     "r7_titled_passage": """SELECT video_id, chunk_index, lower(title) || ': ' || chunk
         AS titled_chunk FROM x_knowledge""",
     "r8_rerank_score": """SELECT query_id, video_id, chunk_index,
@@ -412,6 +454,7 @@ STATEMENTS: dict[str, str] = {
     "r11_result_columns": "SELECT * FROM x_results",
     "r12_search": "SELECT * FROM x_results",
     "r12_search_by_joins": "SELECT * FROM x_results",
+    "r12_search_by_tiles": "SELECT * FROM x_results",
     "p1_context_blocks": "SELECT query_id, context FROM x_context",
     "p2_user_prompts": f"""SELECT q.query_id, {template(
             USER_TEMPLATE, context="coalesce(context, '')", query='query')} AS prompt
@@ -447,13 +490,8 @@ STATEMENTS: dict[str, str] = {
         SELECT t.threshold, round(r.recall, 6) AS recall,
                (SELECT count(*) FROM x_scored WHERE relevance >= t.threshold::FLOAT) AS n_kept
         FROM t JOIN r ON t.threshold = r.threshold""",
-    "e3_rank_fusion": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS r FROM x_similar),
-        c AS (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY cosine DESC, video_id, chunk_index) AS r FROM x_similar)
-        SELECT query_id, video_id, chunk_index, round(sum(1 / ({FUSION_CONSTANT} + r)), 6) AS score
-        FROM (SELECT query_id, video_id, chunk_index, r FROM l WHERE r <= 250 UNION ALL
-              SELECT query_id, video_id, chunk_index, r FROM c WHERE r <= 250) GROUP BY ALL""",
+    "e3_rank_fusion": FUSION,
+    "e3_rank_fusion_pruned": FUSION,
     "u1_model_embedder": """SELECT video_id, generate_subscripts(v, 1) - 1 AS position,
           round((unnest(v) / n)::FLOAT::DOUBLE, 6) AS value
         FROM (SELECT video_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM (

@@ -24,6 +24,7 @@ from corpus_search.operators.retrieval import (
     with_cosine,
     with_relevance,
 )
+from corpus_search.operators.tiled_scoring import TILE_QUERIES, best_by_tiles, query_tiles
 from corpus_search.settings import SearchSettings
 from corpus_search.sources.staging import stage
 
@@ -52,12 +53,24 @@ def joined_candidates(
     embedder: Embedder,
     is_small: bool = False,
 ) -> DataFrame:
-    """The first half of the funnel as joins, for any number of queries."""
+    """The first half of the funnel as joins: a row for every query and chunk with a common token."""
     lexical = lexical_candidates(bm25, query_tokens(prepared), is_small)
     similar = with_cosine(lexical, knowledge, embed_queries(prepared, embedder))
     return dense_candidates(similar, settings.dense_cut)
 
 
+def tiled_candidates(
+    prepared: DataFrame,
+    rows: DataFrame,
+    settings: SearchSettings,
+    embedder: Embedder,
+    tile_queries: int = TILE_QUERIES,
+) -> DataFrame:
+    """The first half of the funnel as block products, for any number of queries."""
+    tiles, n_tiles = query_tiles(prepared, embed_queries(prepared, embedder), tile_queries)
+    return best_by_tiles(rows, tiles, n_tiles, settings.dense_cut)
+
+
 def scored_candidates(
     prepared: DataFrame,
     knowledge: DataFrame,
@@ -69,9 +82,9 @@ def scored_candidates(
 ) -> DataFrame:
     """Everything up to the relevance score.
 
-    With `rows` (from `search_rows`) and a batch of queries that is small enough, the chunks are
-    scored where they are; otherwise candidates are found by joins. The number of queries also
-    bounds the rows that are left after the cosine cut.
+    With `rows` (from `search_rows`) the chunks are scored where they are if the queries are few
+    enough to be sent to them, and in tiles otherwise; without, candidates are found by joins. The
+    number of queries also bounds the rows that are left after the cosine cut.
     """
     is_small = fits_batch(prepared)
     if rows is not None and is_small:
@@ -79,7 +92,11 @@ def scored_candidates(
         dense = best_in_place(rows, batch, settings.dense_cut)
         n_queries = len(batch.ids)
     else:
-        dense = joined_candidates(prepared, knowledge, bm25, settings, embedder, is_small)
+        dense = (
+            joined_candidates(prepared, knowledge, bm25, settings, embedder, is_small)
+            if rows is None
+            else tiled_candidates(prepared, rows, settings, embedder)
+        )
         n_queries = prepared.count()
     return with_relevance(
         dense, knowledge, prepared, reranker, settings.dense_cut * n_queries

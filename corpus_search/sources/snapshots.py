@@ -17,7 +17,13 @@ from corpus_search.sources.schemas import STORED_TABLES, empty_table
 POINTER = "_CURRENT"
 
 # How new rows are ordered where they are written. The lexical index is written as it is computed.
-SORT_KEYS = {"transcripts": ["video_id"], "chunks": ["video_id", "chunk_index"]}
+# Postings are sorted by token, so that a scan for few tokens skips the rest.
+SORT_KEYS = {
+    "transcripts": ["video_id"],
+    "chunks": ["video_id", "chunk_index"],
+    "postings": ["token", "block"],
+    "frequencies": ["token"],
+}
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -78,15 +84,19 @@ def publish(
     root: str,
     appended: dict[str, DataFrame],
     replaced: dict[str, DataFrame],
+    dropped: tuple[str, ...] = (),
 ) -> int:
-    """Write the rows to add and the tables to replace, then make them current together. Returns the
-    version that is current afterwards: unchanged when nothing was added and the replaced tables
+    """Write the rows to add and the tables to replace, then make them current together, without the
+    dropped ones. Returns the version that is current afterwards: unchanged when nothing was added and the replaced tables
     have the content they had."""
     manifest = current_manifest(spark, root)
     version = manifest["version"] + 1
     tables = {name: list(folders) for name, folders in manifest["tables"].items()}
     fingerprints = dict(manifest["fingerprints"])
     changed = False
+    for name in dropped:
+        changed |= tables.pop(name, None) is not None
+        fingerprints.pop(name, None)
     for name, df in {**appended, **replaced}.items():
         folder = f"v={version}/{name}"
         columns = STORED_TABLES[name].fieldNames()
