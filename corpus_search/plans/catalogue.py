@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,7 @@ from corpus_search.sources.schemas import TRANSCRIPTS, empty_table
 from corpus_search.sources.staging import stage, staging_folder
 from corpus_search.sources.tables import read_parquet
 from corpus_search.streaming.ingest_stream import run_ingest
+from corpus_search.streaming.transcript_stream import run_transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -730,6 +732,41 @@ def streamed_ingest(spark, d):
     )
 
 
+def transcript_stream(spark, d):
+    """All listings and snippets in three landings: odd snippets with one half of the listings, the
+    other half, even snippets. Nothing is complete until an hour has passed; a fourth run then
+    publishes all of them."""
+    folder = staging_folder(spark)
+    listings = dv.listings(spark, d)
+    snippets = dv.snippets(spark, d).withColumn("landed_at", F.lit(None).cast("timestamp"))
+    half = F.pmod(F.xxhash64(F.col("items")[0]["id"]["videoId"]), F.lit(2)) == 0
+    odd = F.col("seq") % 2 == 1
+    landings = [
+        (listings.filter(half), snippets.filter(odd)),
+        (listings.filter(~half), snippets.limit(0)),
+        (listings.limit(0), snippets.filter(~odd)),
+        (listings.limit(0), snippets.limit(0)),
+    ]
+    clock = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for minutes, (listed, said) in zip((0, 10, 20, 600), landings, strict=True):
+        listed.write.mode("append").json(f"{folder}/listings")
+        said.write.mode("append").parquet(f"{folder}/snippets")
+        run_transcripts(
+            spark,
+            f"{folder}/listings",
+            f"{folder}/snippets",
+            f"{folder}/tables",
+            f"{folder}/checkpoint",
+            dv.INDEX,
+            dv.EMBEDDER,
+            clock + timedelta(minutes=minutes),
+            quiet_seconds=3600,
+        )
+    return snapshots.read_table(spark, f"{folder}/tables", "transcripts").select(
+        "video_id", _seconds("creation_date"), "title", "transcript"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "a1_parquet_scan": parquet_scan,
     "a2_listing_json": listing_json,
@@ -815,4 +852,5 @@ QUERIES: dict[str, Query] = {
     "u2_model_reranker": model_relevance,
     "u3_completion_merge": completion_merge,
     "s1_streamed_ingest": streamed_ingest,
+    "s1_transcript_stream": transcript_stream,
 }

@@ -282,6 +282,11 @@ RELATIONS: dict[str, str] = {
 DENSE = """SELECT query_id, video_id, chunk_index, dense_rank, round(cosine::DOUBLE, 6) AS cosine,
     round(lexical_score, 6) AS lexical_score FROM x_dense"""
 
+STREAMED = f"""SELECT t.video_id, creation_date::VARCHAR AS creation_date, title,
+    {clean('s.text')} AS transcript
+    FROM x_transcripts t JOIN x_texts s ON t.video_id = s.video_id
+    WHERE trim(s.text, '{WHITESPACE}') <> '' AND title <> ''"""
+
 FUSION = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS r FROM x_similar),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id
@@ -502,10 +507,8 @@ STATEMENTS: dict[str, str] = {
         round((1 / (1 + abs(length(title) - length(transcript))))::FLOAT::DOUBLE, 6) AS relevance
         FROM x_transcripts""",
     "u3_completion_merge": "SELECT video_id, chunk_index, chunk FROM x_contextual",
-    "s1_streamed_ingest": f"""SELECT t.video_id, creation_date::VARCHAR AS creation_date, title,
-        {clean('s.text')} AS transcript
-        FROM x_transcripts t JOIN x_texts s ON t.video_id = s.video_id
-        WHERE trim(s.text, '{WHITESPACE}') <> '' AND title <> ''""",
+    "s1_streamed_ingest": STREAMED,
+    "s1_transcript_stream": STREAMED,
 }
 
 

@@ -85,9 +85,10 @@ def publish(
     appended: dict[str, DataFrame],
     replaced: dict[str, DataFrame],
     dropped: tuple[str, ...] = (),
+    streams: dict[str, dict] | None = None,
 ) -> int:
     """Write the rows to add and the tables to replace, then make them current together, without the
-    dropped ones. Returns the version that is current afterwards: unchanged when nothing was added and the replaced tables
+    dropped ones. `streams` is kept with them: how far each stream has come. Returns the version that is current afterwards: unchanged when nothing was added and the replaced tables
     have the content they had."""
     manifest = current_manifest(spark, root)
     version = manifest["version"] + 1
@@ -115,7 +116,14 @@ def publish(
     if not changed:
         return manifest["version"]
     _swap_pointer(
-        spark, root, {"version": version, "tables": tables, "fingerprints": fingerprints}
+        spark,
+        root,
+        {
+            "version": version,
+            "tables": tables,
+            "fingerprints": fingerprints,
+            "streams": {**manifest.get("streams", {}), **(streams or {})},
+        },
     )
     return version
 
