@@ -7,17 +7,20 @@ so two documents agree in a coordinate with the probability of their weighted Ja
 The work of a document is its words plus its darts, not words times coordinates.
 
 Signatures meet in 32 bands of four coordinates. A band never lists all pairs of its members: they
-are compared with two members drawn at random in each band. Bands of more than three whose
-members are then still in different components get an exact second way: two texts that are similar
-enough share one of their rarest shingles (the first ninth of the shorter one's weight, the first
-fifth of the longer one's), so documents that only have a passage in common do not meet again, while
-no link between two components is left out. Candidates pass an exact comparison of their shingles;
-classes are the connected components of the links.
+are compared with its first and its last member, in an order that is the same for all bands, so that
+a group has few leaders. Bands of more than three whose members are then still in different
+components get an exact second way: two texts that are similar enough share one of their rarest
+shingles (the first ninth of the shorter one's weight, the first fifth of the longer one's), so
+documents that only have a passage in common do not meet again, while no link between two components
+is left out. Of those that meet, the closest pair of every two components is compared first, the
+others only if that did not join them. Candidates pass an exact comparison of their shingles; classes
+are the connected components of the links.
 
 Rows
     null and empty texts have no word; they are copies of each other. Texts of one to four words are
     one shingle of all their words. Repeated rows and equal texts are one class. Words are compared
     in lower case (A-Z), split at ASCII white space. A null id belongs to the class of its text.
+    Further columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ SHINGLE = 5
 COORDINATES = 128
 BANDS = 32
 SIMILAR = 0.8
-#: Drawn members cover all pairs of a band of so many.
+#: The leaders of a band are in all pairs of a band of so many.
 COVERED = 3
+#: So often only the closest pair of every two components is compared.
+CLOSEST_TURNS = 2
 #: Shingles that make up more than one part in so many of those counted are known as frequent. There
 #: are fewer of them than this, whatever the data: 16 bytes each in every task.
 FREQUENT = 1_000_000
@@ -231,7 +236,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures agree enough."""
+    """The pairs whose signatures agree enough, with how much and their other columns."""
     for batch in batches:
         size = 2 * COORDINATES
         a, b = (
@@ -239,20 +244,16 @@ def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("left_signature", "right_signature")
         )
         same = (a.view("<u2") == b.view("<u2")).mean(axis=1)
-        yield batch.filter(pa.array(same >= ESTIMATE)).select(["left", "right", "shared"])
+        pairs = batch.drop_columns(["left_signature", "right_signature"])
+        yield pairs.append_column("same", pa.array(same)).filter(pa.array(same >= ESTIMATE))
 
 
-def _compared(stage: Stage, pairs: DataFrame, nodes: DataFrame, texts: DataFrame, name: str):
-    """The pairs that are similar enough. Every join is by equality on a side that a large group may
-    repeat; adaptive execution splits such parts."""
-    sign = nodes.select("node", "signature")
-    close = (
-        pairs.join(sign.toDF("left", "left_signature"), "left")
-        .join(sign.toDF("right", "right_signature"), "right")
-        .select("left", "right", "shared", "left_signature", "right_signature")
-        .mapInArrow(estimated, "left long, right long, shared long")
-    )
-    close = stage.put(close, f"close_{name}")
+CLOSE = "left long, right long, same double"
+
+
+def _verified(stage: Stage, close: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs whose texts are similar enough. Every join is by equality on a side that a large
+    group may repeat; adaptive execution splits such parts."""
     wanted = close.select(F.explode(F.array("left", "right")).alias("node")).distinct()
     wanted = stage.put(wanted, f"wanted_{name}")
     if wanted.count() <= BROADCAST_NODES:
@@ -270,9 +271,16 @@ def _compared(stage: Stage, pairs: DataFrame, nodes: DataFrame, texts: DataFrame
     return stage.put(exact, f"links_{name}")
 
 
-def _drawn(i: int) -> Column:
-    """A key that orders the members of a band at random."""
-    return F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(i)))
+def _compared(stage: Stage, pairs: DataFrame, nodes: DataFrame, texts: DataFrame, name: str):
+    """The pairs that are similar enough, first by their signatures, then by their texts."""
+    sign = nodes.select("node", "signature")
+    close = (
+        pairs.join(sign.toDF("left", "left_signature"), "left")
+        .join(sign.toDF("right", "right_signature"), "right")
+        .select("left", "right", "left_signature", "right_signature")
+        .mapInArrow(estimated, CLOSE)
+    )
+    return _verified(stage, stage.put(close, f"close_{name}"), texts, name)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -286,7 +294,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         pairs.join(lab.toDF("left", "a"), "left", "left")
         .join(lab.toDF("right", "b"), "right", "left")
         .filter(F.coalesce("a", "left") != F.coalesce("b", "right"))
-        .select("left", "right", "shared")
+        .drop("a", "b")
     )
 
 
@@ -304,11 +312,13 @@ def _unsettled(stage: Stage, members: DataFrame, bands: DataFrame, labels: DataF
     return stage.put(large.join(mixed, "key").select("node", "component").distinct(), "unsettled")
 
 
-def _meeting(stage: Stage, unsettled: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components that may be similar enough. Where a shingle is held by several
-    components, the members of all but the largest look for partners."""
+def _meeting(stage: Stage, unsettled: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left, right, a, b, same): pairs of the components a and b that may be similar enough. Where a shingle
+    is held by several components, the members of all but the largest look for partners. Rows carry
+    their signatures, so that a pair is ruled out where it meets."""
     spark = unsettled.sparkSession
     few = F.broadcast(unsettled) if unsettled.count() <= BROADCAST_NODES else unsettled
+    signed = stage.put(nodes.select("node", "signature").join(few, "node"), "signed")
     texts = texts.join(few.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
     texts = stage.put(texts, "texts_unsettled")
     counts = spread(texts).mapInArrow(_shingle_counts, "shingle long, n long")
@@ -325,23 +335,68 @@ def _meeting(stage: Stage, unsettled: DataFrame, texts: DataFrame) -> DataFrame:
         F.max_by("component", F.struct("n", "component")).alias("largest"),
     )
     shared = shared.filter("parts > 1 and any_first").select("shingle", "largest")
-    rare = stage.put(rare.join(shared, "shingle"), "rarest_shared")
-    probe = rare.filter("component != largest").drop("largest")
-    columns = ("", "_total", "_rest", "_first", "_component")
-    probe = probe.select("shingle", "node", "total", "rest", "first", "component")
-    other = rare.select("shingle", "node", "total", "rest", "first", "component")
+    rare = stage.put(rare.join(shared, "shingle").join(signed.drop("component"), "node"), "rarest_shared")
+    columns = ("", "_total", "_rest", "_first", "_component", "_signature")
+    own = ["shingle", "node", "total", "rest", "first", "component", "signature"]
+    probe = rare.filter("component != largest").select(*own)
     met = probe.toDF("shingle", *(f"a{c}" for c in columns)).join(
-        other.toDF("shingle", *(f"b{c}" for c in columns)), "shingle"
+        rare.select(*own, "largest").toDF("shingle", *(f"b{c}" for c in columns), "largest"), "shingle"
     )
+    # Two that both look for partners meet once.
+    once = (F.col("b_component") == F.col("largest")) | (F.col("a") < F.col("b"))
     shorter = F.when(F.col("a_total") < F.col("b_total"), F.col("a_first")).when(
         F.col("a_total") > F.col("b_total"), F.col("b_first")
     ).otherwise(F.col("a_first") | F.col("b_first"))
     # The first shingle in common: no more than the weights from it on can be shared.
     needed = SIMILAR / (1 + SIMILAR) * (F.col("a_total") + F.col("b_total")) - 1e-6
     met = met.filter(
-        (F.col("a_component") != F.col("b_component")) & shorter & (F.least("a_rest", "b_rest") >= needed)
+        (F.col("a_component") != F.col("b_component"))
+        & once
+        & shorter
+        & (F.least("a_rest", "b_rest") >= needed)
+    )
+    names = ["", "_component", "_signature"]
+    one, other = (F.struct(*[F.col(f"{c}{n}").alias(f"x{n}") for n in names]) for c in ("a", "b"))
+    first = F.col("a") < F.col("b")
+    close = (
+        met.select(F.when(first, one).otherwise(other).alias("l"), F.when(first, other).otherwise(one).alias("r"))
+        .select(
+            F.col("l.x").alias("left"),
+            F.col("r.x").alias("right"),
+            F.col("l.x_component").alias("a"),
+            F.col("r.x_component").alias("b"),
+            F.col("l.x_signature").alias("left_signature"),
+            F.col("r.x_signature").alias("right_signature"),
+        )
+        .mapInArrow(estimated, "left long, right long, a long, b long, same double")
     )
-    return met.select(*_ordered("a", "b")).distinct().withColumn("shared", F.lit(0).cast("long"))
+    return close.groupBy("left", "right", "a", "b").agg(F.max("same").alias("same"))
+
+
+def _settled(stage: Stage, labels: DataFrame, close: DataFrame, texts: DataFrame) -> DataFrame:
+    """`labels` after all links among the close pairs. First only the closest pair of every two
+    components is compared, and again after these were joined, so that few of the many pairs within
+    what belongs together are left when all are."""
+    for turn in range(CLOSEST_TURNS + 1):
+        pairs = close.select("left", "right", "same")
+        if turn < CLOSEST_TURNS:
+            closest = F.max_by(F.struct("left", "right", "same"), F.struct("same", "left", "right"))
+            two = close.groupBy(F.least("a", "b"), F.greatest("a", "b"))
+            pairs = stage.put(two.agg(closest.alias("pair")).select("pair.*"), f"closest_{turn}")
+        found = _verified(stage, pairs, texts, f"rest_{turn}")
+        labels = merged(stage, labels, found, f"third_{turn}")
+        if turn < CLOSEST_TURNS:
+            # A component's number is a node, which has the number of the component it is in now.
+            lab = labels.select("node", "component")
+            close = (
+                close.join(pairs.select("left", "right"), ["left", "right"], "left_anti")
+                .join(lab.toDF("a", "now_a"), "a", "left")
+                .join(lab.toDF("b", "now_b"), "b", "left")
+                .select("left", "right", "same", F.coalesce("now_a", "a").alias("a"), F.coalesce("now_b", "b").alias("b"))
+                .filter("a != b")
+            )
+            close = stage.put(close, f"apart_{turn}")
+    return labels
 
 
 def near_duplicates(
@@ -367,25 +422,10 @@ def near_duplicates(
     )
     ids, texts = nodes.select("node", "first_id", "n_rows"), rows.select("node", "text")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    drawn = [_drawn(0)]
     bands = members.groupBy("key").agg(
-        F.count("*").alias("n"),
-        *[f(x).alias(f"{f.__name__}_{i}") for i, x in enumerate(drawn) for f in (F.min, F.max)],
-    )
-    bands = stage.put(
-        bands.filter("n > 1").select(
-            "key",
-            "n",
-            F.array(
-                *[
-                    F.col(f"{f}_{i}").bitwiseXOR(F.xxhash64("key", F.lit(i)))
-                    for i in range(len(drawn))
-                    for f in ("min", "max")
-                ]
-            ).alias("leaders"),
-        ),
-        "bands",
+        F.count("*").alias("n"), F.array(F.min("node"), F.max("node")).alias("leaders")
     )
+    bands = stage.put(bands.filter("n > 1"), "bands")
     of_two = bands.filter("n = 2").select(
         F.col("leaders")[0].alias("node"), F.col("leaders")[1].alias("leader")
     )
@@ -401,13 +441,13 @@ def near_duplicates(
     )
     pairs = stage.put(pairs, "pairs")
     # First each document with one partner, the one with the smallest number among those that share
-    # most bands; then what lies apart; then documents without a link against their whole bands.
+    # most bands; then what lies apart; then the larger bands that still hold several components.
     half = F.when(F.col("shared") >= 8, 1).otherwise(0)
     best = (
         pairs.select("left", "right", "shared", half.alias("half"))
         .groupBy("right")
         .agg(F.max_by("left", F.struct("half", -F.col("left"))).alias("left"))
-        .select("left", "right", F.lit(0).cast("long").alias("shared"))
+        .select("left", "right")
     )
     links = _compared(stage, best, nodes, texts, "best")
     labels = components(stage, links, "first")
@@ -415,10 +455,9 @@ def near_duplicates(
     labels = merged(stage, labels, more, "second")
     unsettled = _unsettled(stage, members, bands, labels)
     if not unsettled.isEmpty():
-        met = _meeting(stage, unsettled, texts)
-        rest = met.join(pairs.select("left", "right"), ["left", "right"], "left_anti")
-        found = _compared(stage, rest, nodes, texts, "rest")
-        labels = merged(stage, labels, found, "third")
+        met = _meeting(stage, unsettled, nodes, texts)
+        met = stage.put(met.join(pairs.select("left", "right"), ["left", "right"], "left_anti"), "met")
+        labels = _settled(stage, labels, met, texts)
     classes = ids.join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("class"), "first_id", "n_rows"
     )
@@ -449,11 +488,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each class, with all its columns; equal rows leave one."""
     _, classes = near_duplicates(docs, id_col, text_col)
-    heads = classes.filter("head").select("node", "first_id", "n_rows")
-    kept = docs.withColumn("_node", F.xxhash64(whole(text_col))).join(
-        heads,
-        (F.col("_node") == heads["node"]) & F.col(id_col).eqNullSafe(heads["first_id"]),
+    heads = classes.filter("head").select("node", F.col("first_id").alias("head_id"), "n_rows")
+    # The columns of `docs` stay in a struct, so that their names can't clash.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("of")
     )
-    once = kept.filter("n_rows = 1").select(*docs.columns, "_node")
-    repeated = kept.filter("n_rows > 1").select(*docs.columns, "_node")
-    return once.unionAll(repeated.dropDuplicates(["_node"])).select(*docs.columns)
+    kept = rows.join(heads, (F.col("of") == F.col("node")) & F.col("id").eqNullSafe(F.col("head_id")))
+    once = kept.filter("n_rows = 1").select("row")
+    repeated = kept.filter("n_rows > 1").dropDuplicates(["of"]).select("row")
+    return once.unionAll(repeated).select("row.*")
