@@ -38,17 +38,32 @@ def context_prompts(
     )
 
 
+def one_completion(completions: DataFrame, key: list[str]) -> DataFrame:
+    """One completion per key, if it was delivered several times: a whole one before one that was
+    cut off, one with text before one without, of equals the greatest text. The key is that of the
+    join which follows, so nothing more is shuffled."""
+    content = F.coalesce(F.col("content") != "", F.lit(False))
+    whole = F.coalesce(F.col("finish_reason") != "length", F.lit(True))
+    best = F.max(
+        F.struct(content.alias("has_text"), whole.alias("is_whole"), "content", "finish_reason")
+    )
+    return (
+        completions.groupBy(*key)
+        .agg(best.alias("best"))
+        .select(*key, "best.finish_reason", "best.content")
+    )
+
+
 def add_context(chunks: DataFrame, completions: DataFrame) -> DataFrame:
     """Put the completion in front of its chunk. A chunk whose completion is absent, cut off or
-    empty stays bare; `is_fallback` tells which, `bare_chunk` keeps the words of the document."""
+    empty stays bare; `is_fallback` tells which, `bare_chunk` keeps the words of the document. A
+    completion that was delivered twice counts once."""
     content = F.col("content")
     fallback = F.coalesce(
         (F.col("finish_reason") == "length") | content.isNull() | (content == ""), content.isNull()
     )
     contextual = F.concat(F.lower(strip(content)), F.lit("\n"), F.col("chunk"))
-    merged = chunks.join(
-        completions.select(*CHUNK_KEY, "finish_reason", "content"), CHUNK_KEY, "left"
-    )
+    merged = chunks.join(one_completion(completions, CHUNK_KEY), CHUNK_KEY, "left")
     return merged.select(
         *CHUNK_KEY,
         F.when(fallback, F.col("chunk")).otherwise(contextual).alias("chunk"),

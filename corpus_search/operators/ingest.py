@@ -13,6 +13,10 @@ from corpus_search.functions.text import clean, strip
 from corpus_search.settings import MAX_LISTED
 from corpus_search.sources.snapshots import not_stored
 
+# Reasons of rejected records whose items never become rows, and the channel of those without one.
+UNREADABLE = ["malformed_json", "wrong_type"]
+UNKNOWN_CHANNEL = "(unreadable)"
+
 OUTCOMES = ["missing_field", "existing", "unavailable", "empty", "rejected", "new"]
 
 # Snippets are first joined into texts of this many positions, then the texts into the transcript,
@@ -69,13 +73,21 @@ def assemble_snippets(snippets: DataFrame, block: int = SNIPPET_BLOCK) -> DataFr
     return blocks.groupBy("video_id").agg(joined("block", "text").alias("text"))
 
 
-def _texts_of(items: DataFrame, snippets: DataFrame) -> DataFrame:
-    return assemble_snippets(snippets.join(items.select("video_id"), "video_id", "left_semi"))
+def texts_of(items: DataFrame, snippets: DataFrame) -> DataFrame:
+    """video_id, text of the listed videos. Items without an id have none."""
+    listed = items.filter(F.coalesce("video_id", F.lit("")) != "").select("video_id")
+    return assemble_snippets(snippets.join(listed, "video_id", "left_semi"))
 
 
-def classify_items(items: DataFrame, transcripts: DataFrame, snippets: DataFrame) -> DataFrame:
+def classify_items(
+    items: DataFrame,
+    transcripts: DataFrame,
+    snippets: DataFrame | None = None,
+    texts: DataFrame | None = None,
+) -> DataFrame:
     """channel_id, video_id, title, creation_date, outcome for every listed item. Items without an
-    id never reach a join."""
+    id never reach a join. `texts` is the stored result of `texts_of`; without it the snippets are
+    put together here."""
     complete = items.filter(has_required_fields())
     ids = complete.select("video_id")
     known = (
@@ -84,7 +96,8 @@ def classify_items(items: DataFrame, transcripts: DataFrame, snippets: DataFrame
         .distinct()
         .withColumn("is_known", F.lit(True))
     )
-    texts = _texts_of(complete, snippets).select(
+    texts = texts_of(complete, snippets) if texts is None else texts
+    blank = texts.select(
         "video_id", (strip(F.col("text")) == "").alias("is_blank")
     )
     created = parse_timestamp(F.col("published_at"))
@@ -97,7 +110,7 @@ def classify_items(items: DataFrame, transcripts: DataFrame, snippets: DataFrame
     )
     classified = (
         complete.join(known, "video_id", "left")
-        .join(texts, "video_id", "left")
+        .join(blank, "video_id", "left")
         .select(
             "channel_id",
             "video_id",
@@ -116,7 +129,9 @@ def classify_items(items: DataFrame, transcripts: DataFrame, snippets: DataFrame
     return classified.unionByName(incomplete)
 
 
-def new_transcripts(classified: DataFrame, snippets: DataFrame) -> DataFrame:
+def new_transcripts(
+    classified: DataFrame, snippets: DataFrame | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """The transcripts to add: video_id, creation_date, title, transcript. A video listed by several
     channels is added once, as listed by the first of them."""
     first = F.min(F.struct("channel_id", "creation_date", "title"))
@@ -125,7 +140,8 @@ def new_transcripts(classified: DataFrame, snippets: DataFrame) -> DataFrame:
         .groupBy("video_id")
         .agg(first.alias("listed"))
     )
-    return new.join(_texts_of(new, snippets), "video_id").select(
+    texts = texts_of(new, snippets) if texts is None else texts
+    return new.join(texts, "video_id").select(
         "video_id",
         F.col("listed.creation_date").alias("creation_date"),
         clean(F.col("listed.title")).alias("title"),
@@ -133,8 +149,15 @@ def new_transcripts(classified: DataFrame, snippets: DataFrame) -> DataFrame:
     )
 
 
-def channel_outcomes(classified: DataFrame) -> DataFrame:
-    """Items per channel and outcome, one row per channel."""
+def channel_outcomes(classified: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+    """Items per channel and outcome, one row per channel. Records that could not be read count as
+    rejected items of their channel; without a readable channel they are one of their own."""
+    if rejects is not None:
+        unread = rejects.filter(F.col("reason").isin(UNREADABLE)).select(
+            F.coalesce("channel_id", F.lit(UNKNOWN_CHANNEL)).alias("channel_id"),
+            F.lit("rejected").alias("outcome"),
+        )
+        classified = classified.select("channel_id", "outcome").unionByName(unread)
     return classified.groupBy("channel_id").agg(
         F.count("*").alias("n_items"),
         *[

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_search.functions.templates import fill
+from corpus_search.operators.context import one_completion
 from corpus_search.settings import (
     DELIMITER,
     EMPTY_ANSWER,
@@ -72,10 +73,11 @@ def answers(
     queries: DataFrame, completions: DataFrame, empty_answer: str = EMPTY_ANSWER
 ) -> DataFrame:
     """query_id, answer, is_truncated. An absent or empty completion becomes the fallback message;
-    a cut-off one is kept and marked."""
+    a cut-off one is kept and marked. A completion that was delivered twice counts once."""
     content = F.col("content")
     usable = F.coalesce(content != "", F.lit(False))
-    return queries.select("query_id").join(completions, "query_id", "left").select(
+    once = one_completion(completions, ["query_id"])
+    return queries.select("query_id").join(once, "query_id", "left").select(
         "query_id",
         F.when(usable, content).otherwise(F.lit(empty_answer)).alias("answer"),
         (usable & F.coalesce(F.col("finish_reason") == "length", F.lit(False))).alias(

@@ -34,7 +34,7 @@ from corpus_search.plans import derived as dv
 from corpus_search.plans import search as search_plan
 from corpus_search.settings import IndexSettings
 from corpus_search.sources import snapshots
-from corpus_search.sources.listing import read_listings
+from corpus_search.sources.listing import read_landed, read_listings
 from corpus_search.sources.schemas import TRANSCRIPTS, empty_table
 from corpus_search.sources.staging import stage, staging_folder
 from corpus_search.sources.tables import read_parquet
@@ -73,6 +73,38 @@ def listing_json(spark, d):
     )
 
 
+def listing_rejects(spark, d):
+    """Listings of which one in four is cut short, one has a word in place of its items, and one has
+    unreadable dates, with what is read of them and what is refused."""
+    folder = staging_folder(spark)
+    page = F.floor(F.col("items")[0]["id"]["videoId"].cast("bigint") / 50) % 4
+    undated = F.transform(
+        "items",
+        lambda item: F.struct(
+            item["id"].alias("id"),
+            F.struct(F.lit("soon").alias("publishedAt"), item["snippet"]["title"].alias("title"))
+            .alias("snippet"),
+        ),
+    )
+    record = F.to_json(F.struct("channel_id", "items"))
+    line = (
+        F.when(page == 0, F.substring(record, F.lit(1), F.char_length(record) - 9))
+        .when(page == 1, F.to_json(F.struct("channel_id", F.lit("none").alias("items"))))
+        .when(page == 2, F.to_json(F.struct("channel_id", undated.alias("items"))))
+        .otherwise(record)
+    )
+    dv.listings(spark, d).select(line.alias("value")).write.text(f"{folder}/landing")
+    items, rejects = read_landed(spark, f"{folder}/landing")
+    read = items.select("channel_id", F.lit("listed").alias("reason"))
+    refused = rejects.select(
+        F.when(F.col("reason") == "malformed_json", "")
+        .otherwise(F.coalesce("channel_id", F.lit("")))
+        .alias("channel_id"),
+        "reason",
+    )
+    return read.unionByName(refused).groupBy("channel_id", "reason").agg(F.count("*").alias("n"))
+
+
 def typed_empty(spark, d):
     first_run = snapshots.append_new(empty_table(spark, TRANSCRIPTS), dv.transcripts(spark, d))
     return first_run.select(
@@ -446,6 +478,22 @@ def spelling_corrections(spark, d):
     return spelling.corrections(words.unionByName(swapped), dv.index(spark, d).dictionary)
 
 
+def spelling_with_stored_deletions(spark, d):
+    """The same words against the dictionary and its deletions as three versions have stored them."""
+    words = dv.queries(spark, d).select(F.explode(tx.query_words(F.col("query"))).alias("word"))
+    swapped = words.select(
+        F.concat(
+            F.substring("word", 2, 1), F.substring("word", 1, 1), F.substring("word", 3, EVERYTHING)
+        ).alias("word")
+    )
+    root = dv.grown_root(spark, d)
+    return spelling.corrections(
+        words.unionByName(swapped),
+        spelling.summed(snapshots.read_table(spark, root, "words")),
+        snapshots.read_table(spark, root, "variants"),
+    )
+
+
 def rejoined_queries(spark, d):
     prepared = spelling.prepare_queries(dv.queries(spark, d), dv.index(spark, d).dictionary)
     return prepared.select("query_id", "query", "corrected")
@@ -770,6 +818,7 @@ def transcript_stream(spark, d):
 QUERIES: dict[str, Query] = {
     "a1_parquet_scan": parquet_scan,
     "a2_listing_json": listing_json,
+    "a2_listing_rejects": listing_rejects,
     "a3_typed_empty_table": typed_empty,
     "a4_append_chunks": append_chunks,
     "a5_rebuild_bm25": rebuild_bm25,
@@ -817,6 +866,7 @@ QUERIES: dict[str, Query] = {
     "q1_query_punctuation": without_punctuation,
     "q2_query_words": split_queries,
     "q3_spelling": spelling_corrections,
+    "q3_spelling_stored": spelling_with_stored_deletions,
     "q4_corrected_query": rejoined_queries,
     "r1_token_membership": membership,
     "r2_lexical_score": lexical_scores,

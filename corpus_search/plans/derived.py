@@ -288,6 +288,11 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _once(spark, sf_dir, "index", build_index)
 
 
+def grown_root(spark: SparkSession, sf_dir: str) -> str:
+    """Where the same documents were published in three versions."""
+    return _once(spark, sf_dir, "versions", publish_versions)
+
+
 def grown_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The lexical index of the same documents, appended in three versions."""
-    return open_lexical(spark, _once(spark, sf_dir, "versions", publish_versions))
+    """The lexical index of the three versions."""
+    return open_lexical(spark, grown_root(spark, sf_dir))

@@ -305,6 +305,19 @@ STATEMENTS: dict[str, str] = {
     "a1_parquet_scan": "SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en'",
     "a2_listing_json": """SELECT channel_id, video_id, published_at, title, 'video' AS kind
         FROM x_items""",
+    "a2_listing_rejects": """WITH l AS (
+          SELECT channel_id, title, video_id::BIGINT // 50 AS p FROM x_items),
+        pages AS (SELECT DISTINCT channel_id, p FROM l)
+        SELECT '' AS channel_id, 'malformed_json' AS reason, count(*) AS n FROM pages
+        WHERE p % 4 = 0 HAVING count(*) > 0
+        UNION ALL SELECT channel_id, 'wrong_type', count(*) FROM pages WHERE p % 4 = 1
+        GROUP BY channel_id
+        UNION ALL SELECT channel_id, 'listed', count(*) FROM l WHERE p % 4 IN (2, 3)
+        GROUP BY channel_id
+        UNION ALL SELECT channel_id, 'missing_title', count(*) FROM l
+        WHERE p % 4 IN (2, 3) AND title = '' GROUP BY channel_id
+        UNION ALL SELECT channel_id, 'bad_date', count(*) FROM l
+        WHERE p % 4 = 2 AND title <> '' GROUP BY channel_id""",
     "a3_typed_empty_table": """SELECT video_id, creation_date::VARCHAR AS creation_date, title,
         length(transcript) AS n_chars FROM x_transcripts""",
     "a4_append_chunks": "SELECT video_id, chunk_index, chunk FROM x_chunks",
@@ -419,6 +432,7 @@ STATEMENTS: dict[str, str] = {
         translate(query, '{PUNCTUATION}', '{BLANKS}') AS query FROM x_queries""",
     "q2_query_words": "SELECT query_id, position, word FROM x_query_words",
     "q3_spelling": best_correction("x_asked"),
+    "q3_spelling_stored": best_correction("x_asked"),
     "q4_corrected_query": "SELECT query_id, query, corrected FROM x_prepared",
     "r1_token_membership": """SELECT query_id, video_id, chunk_index, token
         FROM x_bm25 JOIN x_query_tokens USING (token)""",

@@ -1,20 +1,31 @@
 """Versioned publishing of the stored tables.
 
-New data goes to `v=<n>/`; a small pointer file then names the folders that make up every table.
-Readers follow the pointer, so they see all tables of one version or all of the version before. A
+New data goes to a folder of its own; a small commit file then names the folders that make up every
+table. Commits are numbered, and one that is there is never written again: of two publishers that
+began at the same version one gets the next number, the other a `Conflict`, after which it can begin
+again at the newer version. Readers follow the last commit, so they see all tables of one version. A
 table that only grows keeps its older folders and is not rewritten.
+
+Folders that the last commits don't name are removed by `clean`, but for those under a lease: of a
+publisher that is still writing, or of a reader that stays at its version.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.sources.schemas import STORED_TABLES, empty_table
 
+#: Where the version was named before there were commits; still read.
 POINTER = "_CURRENT"
+COMMITS = "_commits"
+LEASES = "_leases"
+LEASE_SECONDS = 24 * 3600
 
 # How new rows are ordered where they are written. The lexical index is written as it is computed.
 # Postings are sorted by token, so that a scan for few tokens skips the rest.
@@ -23,50 +34,134 @@ SORT_KEYS = {
     "chunks": ["video_id", "chunk_index"],
     "postings": ["token", "block"],
     "frequencies": ["token"],
+    "words": ["word"],
+    "variants": ["variant"],
 }
 
+EMPTY = {"version": 0, "tables": {}, "fingerprints": {}, "streams": {}}
+
+
+class Conflict(RuntimeError):
+    """Another publisher made the version first."""
+
 
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current_manifest(spark: SparkSession, root: str) -> dict:
-    """{"version": n, "tables": {name: [folder, ...]}, "fingerprints": {name: text}}"""
-    path, files = _file_system(spark, f"{root}/{POINTER}")
-    if not files.exists(path):
-        return {"version": 0, "tables": {}, "fingerprints": {}}
-    stream = files.open(path)
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    at, files = _file_system(spark, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
     try:
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
-    return json.loads(text)
 
 
-def _swap_pointer(spark: SparkSession, root: str, manifest: dict) -> None:
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    at, files = _file_system(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def _create(spark: SparkSession, path: str, content: dict) -> bool:
+    """Write a file under its name all at once; False if the name is taken."""
     jvm = spark._jvm
-    staged, files = _file_system(spark, f"{root}/{POINTER}.{manifest['version']}")
-    stream = files.create(staged, True)
+    folder, name = path.rsplit("/", 1)
+    staged, files = _file_system(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = files.create(staged, False)
     try:
-        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.write(bytearray(json.dumps(content).encode()))
     finally:
         stream.close()
-    overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    options = spark.sparkContext._gateway.new_array(
-        getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1
-    )
-    options[0] = overwrite
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         staged.toUri(), spark._jsc.hadoopConfiguration()
     )
-    context.rename(staged, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), options)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(staged, jvm.org.apache.hadoop.fs.Path(path), options)
+    except Exception as failure:
+        if not files.exists(jvm.org.apache.hadoop.fs.Path(path)):
+            raise failure
+        files.delete(staged, False)
+        return False
+    return True
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n) for n in _names(spark, f"{root}/{COMMITS}") if n.isdigit())
+
 
+def manifest_of(spark: SparkSession, root: str, version: int) -> dict:
+    found = _read_json(spark, f"{root}/{COMMITS}/{version}")
+    if found is None:
+        raise FileNotFoundError(f"version {version} of {root} is not there")
+    return found
+
+
+def current_manifest(spark: SparkSession, root: str) -> dict:
+    """{"version": n, "tables": {name: [folder, ...]}, "fingerprints": {name: text}, "streams":
+    {name: how far it has come}}"""
+    if versions := _versions(spark, root):
+        return manifest_of(spark, root, versions[-1])
+    return {**EMPTY, **(_read_json(spark, f"{root}/{POINTER}") or {})}
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table in the current version; an empty one with the same columns before the first run.
-    A folder that the pointer names and that is gone is an error, never an empty table."""
-    folders = current_manifest(spark, root)["tables"].get(name, [])
+
+def _commit(spark: SparkSession, root: str, manifest: dict) -> None:
+    if not _create(spark, f"{root}/{COMMITS}/{manifest['version']}", manifest):
+        raise Conflict(f"version {manifest['version']} of {root} was made by another publisher")
+
+
+def take_lease(
+    spark: SparkSession, root: str, folders: list[str], seconds: float = LEASE_SECONDS
+) -> str:
+    """Keep folders from being cleaned until the lease is returned or has run out."""
+    name = uuid.uuid4().hex
+    _create(spark, f"{root}/{LEASES}/{name}", {"folders": folders, "until": time.time() + seconds})
+    return name
+
+
+def return_lease(spark: SparkSession, root: str, name: str) -> None:
+    at, files = _file_system(spark, f"{root}/{LEASES}/{name}")
+    files.delete(at, False)
+
+
+def clean(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Remove the folders that neither the last `keep` commits nor a lease name, and older commits.
+    Returns the folders that are gone."""
+    versions = _versions(spark, root)
+    if not versions:
+        return []
+    kept = [manifest_of(spark, root, v) for v in versions[-keep:]]
+    named = {f.split("/")[0] for m in kept for folders in m["tables"].values() for f in folders}
+    for name in _names(spark, f"{root}/{LEASES}"):
+        lease = _read_json(spark, f"{root}/{LEASES}/{name}") if not name.startswith(".") else None
+        if lease is None:
+            continue
+        if lease["until"] < time.time():
+            return_lease(spark, root, name)
+        else:
+            named |= {f.split("/")[0] for f in lease["folders"]}
+    gone = [n for n in _names(spark, root) if n.startswith("v=") and n not in named]
+    for name in gone:
+        at, files = _file_system(spark, f"{root}/{name}")
+        files.delete(at, True)
+    for version in versions[:-keep]:
+        at, files = _file_system(spark, f"{root}/{COMMITS}/{version}")
+        files.delete(at, False)
+    return sorted(gone)
+
+
+def read_table(
+    spark: SparkSession, root: str, name: str, manifest: dict | None = None
+) -> DataFrame:
+    """The table in the current version, or in that of a manifest; an empty one with the same columns
+    before the first run. A folder that is named and gone is an error, never an empty table."""
+    folders = (manifest or current_manifest(spark, root))["tables"].get(name, [])
     if not folders:
         return empty_table(spark, STORED_TABLES[name])
     return spark.read.schema(STORED_TABLES[name]).parquet(*[f"{root}/{f}" for f in folders])
@@ -86,11 +181,17 @@ def publish(
     replaced: dict[str, DataFrame],
     dropped: tuple[str, ...] = (),
     streams: dict[str, dict] | None = None,
+    base: dict | None = None,
 ) -> int:
     """Write the rows to add and the tables to replace, then make them current together, without the
-    dropped ones. `streams` is kept with them: how far each stream has come. Returns the version that is current afterwards: unchanged when nothing was added and the replaced tables
-    have the content they had."""
-    manifest = current_manifest(spark, root)
+    dropped ones. `streams` is kept with them: how far each stream has come. Returns the version
+    that is current afterwards: unchanged when nothing was added and the replaced tables have the
+    content they had.
+
+    `base` is the manifest that the rows were computed from. If a newer version is current when they
+    are committed, nothing is changed and `Conflict` is raised.
+    """
+    manifest = base or current_manifest(spark, root)
     version = manifest["version"] + 1
     tables = {name: list(folders) for name, folders in manifest["tables"].items()}
     fingerprints = dict(manifest["fingerprints"])
@@ -98,33 +199,38 @@ def publish(
     for name in dropped:
         changed |= tables.pop(name, None) is not None
         fingerprints.pop(name, None)
-    for name, df in {**appended, **replaced}.items():
-        folder = f"v={version}/{name}"
-        columns = STORED_TABLES[name].fieldNames()
-        rows = df.select(*columns)
-        if keys := SORT_KEYS.get(name):
-            rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        rows.write.mode("overwrite").parquet(f"{root}/{folder}")
-        written = spark.read.schema(STORED_TABLES[name]).parquet(f"{root}/{folder}")
-        if name in replaced:
-            content = fingerprint(written)
-            changed |= content != fingerprints.get(name)
-            tables[name], fingerprints[name] = [folder], content
-        elif not written.isEmpty():
-            changed = True
-            tables.setdefault(name, []).append(folder)
-    if not changed:
-        return manifest["version"]
-    _swap_pointer(
-        spark,
-        root,
-        {
-            "version": version,
-            "tables": tables,
-            "fingerprints": fingerprints,
-            "streams": {**manifest.get("streams", {}), **(streams or {})},
-        },
-    )
+    own = f"v={version}-{uuid.uuid4().hex[:12]}"
+    lease = take_lease(spark, root, [own])
+    try:
+        for name, df in {**appended, **replaced}.items():
+            folder = f"{own}/{name}"
+            columns = STORED_TABLES[name].fieldNames()
+            rows = df.select(*columns)
+            if keys := SORT_KEYS.get(name):
+                rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            rows.write.mode("overwrite").parquet(f"{root}/{folder}")
+            written = spark.read.schema(STORED_TABLES[name]).parquet(f"{root}/{folder}")
+            if name in replaced:
+                content = fingerprint(written)
+                changed |= content != fingerprints.get(name)
+                tables[name], fingerprints[name] = [folder], content
+            elif not written.isEmpty():
+                changed = True
+                tables.setdefault(name, []).append(folder)
+        if not changed:
+            return manifest["version"]
+        _commit(
+            spark,
+            root,
+            {
+                "version": version,
+                "tables": tables,
+                "fingerprints": fingerprints,
+                "streams": {**manifest.get("streams", {}), **(streams or {})},
+            },
+        )
+    finally:
+        return_lease(spark, root, lease)
     return version
 
 

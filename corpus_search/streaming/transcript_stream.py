@@ -26,11 +26,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpus_search.functions.text import clean, strip
 from corpus_search.operators.embedding import Embedder
 from corpus_search.operators.ingest import has_required_fields, parse_timestamp
-from corpus_search.plans.build import encode_documents, lexical_increment
+from corpus_search.plans.build import encode_documents, increments, with_retries
 from corpus_search.settings import IndexSettings
 from corpus_search.sources.listing import listing_items
 from corpus_search.sources.schemas import LISTING, SNIPPETS
-from corpus_search.sources.snapshots import current_manifest, not_stored, publish, read_table
+from corpus_search.sources.snapshots import not_stored, publish, read_table
 from corpus_search.sources.staging import stage, staging_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -166,37 +166,41 @@ def run_transcripts(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        manifest = current_manifest(session, root)
-        mark = manifest.get("streams", {}).get(checkpoint)
-        if mark is not None and mark["batch"] >= batch_id:
-            return
         folder = staging_folder(session)
         rows = stage(batch, f"{folder}/completed")
-        many = F.when(F.col("outcome") == "late", F.col("n_snippets")).otherwise(1)
-        for row in rows.groupBy("outcome").agg(F.sum(many).alias("n")).collect():
-            counted[row["outcome"]] += row["n"]
         documents = rows.filter(F.col("outcome") == "new").select(
             "video_id",
             parse_timestamp(F.col("published_at")).alias("creation_date"),
             clean(F.col("title")).alias("title"),
             clean(F.col("text")).alias("transcript"),
         )
-        has_older = mark["has_older"] if mark else "transcripts" in manifest["tables"]
-        if has_older:
-            documents = not_stored(documents, read_table(session, root, "transcripts"))
-        documents = stage(documents, f"{folder}/documents")
-        if documents.isEmpty():
-            return
-        chunks = stage(encode_documents(documents, settings, embedder), f"{folder}/chunks")
-        appended, replaced = lexical_increment(session, root, chunks, folder)
-        publish(
-            session,
-            root,
-            {"transcripts": documents, "chunks": chunks, **appended},
-            replaced,
-            ("bm25",),
-            {checkpoint: {"batch": batch_id, "has_older": has_older}},
-        )
+
+        def once(manifest: dict) -> None:
+            mark = manifest["streams"].get(checkpoint)
+            if mark is not None and mark["batch"] >= batch_id:
+                return
+            at = f"{folder}/{manifest['version']}"
+            has_older = mark["has_older"] if mark else "transcripts" in manifest["tables"]
+            old = read_table(session, root, "transcripts", manifest)
+            new = stage(not_stored(documents, old) if has_older else documents, f"{at}/documents")
+            if new.isEmpty():
+                return
+            chunks = stage(encode_documents(new, settings, embedder), f"{at}/chunks")
+            appended, replaced = increments(session, root, new, chunks, at, manifest)
+            publish(
+                session,
+                root,
+                {"transcripts": new, "chunks": chunks, **appended},
+                replaced,
+                ("bm25",),
+                {checkpoint: {"batch": batch_id, "has_older": has_older}},
+                manifest,
+            )
+
+        with_retries(once, session, root)
+        many = F.when(F.col("outcome") == "late", F.col("n_snippets")).otherwise(1)
+        for row in rows.groupBy("outcome").agg(F.sum(many).alias("n")).collect():
+            counted[row["outcome"]] += row["n"]
 
     before = spark.conf.get(PROVIDER)
     heartbeat(spark, snippets_path, now)

@@ -138,7 +138,7 @@ def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
     more = items(spark, [("c", "b", DAY, "t")])
     more_texts = snippets(spark, [("b", 0, "four five")])
     with monkeypatch.context() as patched:
-        patched.setattr(snapshots, "_swap_pointer", crash)
+        patched.setattr(snapshots, "_commit", crash)
         with pytest.raises(OSError):
             ingest_and_publish(spark, root, more, more_texts, INDEX, EMBED)
     assert snapshots.current_manifest(spark, root)["version"] == 1
