@@ -455,8 +455,7 @@ def near_duplicates(
     labels = merged(stage, labels, more, "second")
     unsettled = _unsettled(stage, members, bands, labels)
     if not unsettled.isEmpty():
-        met = _meeting(stage, unsettled, nodes, texts)
-        met = stage.put(met.join(pairs.select("left", "right"), ["left", "right"], "left_anti"), "met")
+        met = stage.put(_meeting(stage, unsettled, nodes, texts), "met")
         labels = _settled(stage, labels, met, texts)
     classes = ids.join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("class"), "first_id", "n_rows"
