@@ -13,14 +13,16 @@ tags that are never an article's (menus, footers, forms, scripts ...) is read fo
 
 Rows
     null and empty html give an empty text, as do pages without an article block. Unclosed tags end
-    with the element around them; an unclosed comment or script reaches to the end. Repeated rows
-    are labelled each; html is read whole.
+    with the element around them; an unclosed svg, button, object and the like at the next block; an
+    unclosed comment, script or style reaches to the end. Self-closed svg and math are empty.
+    Repeated rows are labelled each; html is read whole. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +44,10 @@ INPUT = 2 * BINS + FIGURES
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del label".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea title select button object math canvas audio video head".split())
+LITERAL = frozenset("script style".split())
 NEVER = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote".split())
 NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice "
     "notification alert popup modal menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget "
@@ -63,26 +67,61 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: float = 0.0  # part of the text within links
+    form: int = -1  # number of the outermost form around it
 
     @property
     def barred(self) -> bool:
         return any(p.split(" ", 1)[0] in NEVER for p in self.path)
 
 
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where an element ends whose content is no text of the page; -1 if it is not closed. Those of
+    one name may stand in each other."""
+    depth = 1
+    for tag in re.compile(rf"<(/?){name}\b[^>]*?(/?)>", re.I).finditer(page, at):
+        if tag[1]:
+            depth -= 1
+        elif not tag[2] and name not in LITERAL:
+            depth += 1
+        if not depth:
+            return tag.end()
+    return -1
+
+
+def without_wrappers(page: list[Block]) -> list[Block]:
+    """The blocks with the forms that hold the page taken out of their paths."""
+    names = [[p.split(" ", 1)[0] for p in b.path] for b in page]
+    total = sum(len(b.text) for b in page)
+    for form in {b.form for b in page} - {-1}:
+        inside = [i for i, b in enumerate(page) if b.form == form]
+        prose = sum(bool(set(names[i]) & PROSE) for i in inside)
+        holds = any(MAIN & set(names[i][names[i].index("form") + 1 :]) for i in inside)
+        if holds or (prose > 1 and 2 * sum(len(page[i].text) for i in inside) >= total):
+            for i in inside:
+                at = names[i].index("form")
+                page[i].path = page[i].path[:at] + page[i].path[at + 1 :]
+    return page
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[str] = []
     buffer: list[str] = []
-    linked = at = links = 0
+    linked = at = links = forms = 0
+    unclosed = False  # in an element that ends with the block
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, unclosed
+        if unclosed:
+            buffer.clear()
+            unclosed = False
         raw = "".join(buffer)
         text = " ".join(html.unescape(raw).split())
         if text:
             path = tuple(p for p in stack if p.split(" ", 1)[0] not in INLINE)
-            out.append(Block(path, text, min(1.0, linked / len(raw))))
+            inside = any(p.split(" ", 1)[0] == "form" for p in path)
+            out.append(Block(path, text, min(1.0, linked / len(raw)), forms if inside else -1))
         buffer.clear()
         linked = 0
 
@@ -112,11 +151,19 @@ def blocks(page: str) -> list[Block]:
             continue
         ending = (tag[1] or tag[5]) == "/"
         if name in RAW and not ending:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if name == "head" and not end:
+            if name in ("svg", "math") and tag[0].rstrip(">").endswith("/"):
+                close()
+                continue
+            end = raw_end(page, name, at)
+            if name == "head" and end < 0:
                 continue
-            at = end.end() if end else n
             close()
+            if end >= 0 or name in LITERAL:
+                at = end if end >= 0 else n
+            else:
+                unclosed = True
+            continue
+        if name in RAW:
             continue
         if name == "a":
             links = max(0, links - 1) if ending else links + 1
@@ -139,10 +186,40 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         elif stack and stack[-1].split(" ", 1)[0] == name and name in ("li", "dt", "dd", "tr", "td", "th"):
             stack.pop()
+        if name == "form" and not any(p.split(" ", 1)[0] == "form" for p in stack):
+            forms += 1
         more = " ".join(" ".join(WORD.findall((a or b or c).lower())) for a, b, c in NAMED.findall(tag[3] or tag[7] or ""))
         stack.append(f"{name} {more}".strip())
     close()
-    return out
+    return without_wrappers(out)
+
+
+def foreign(path: tuple[str, ...]) -> bool:
+    """Whether a part of the path names something that is not the article."""
+    words = [p.split() for p in path]
+    return any(w[0] in NEVER or NAMES & set(w[1:]) for w in words)
+
+
+def prose_labels(page: list[Block]) -> list[int]:
+    """Of a page without article or main: 1 for what stands in the innermost element that holds most
+    of the page's prose (sentences of some length, not links), under no foreign name."""
+    prose: Counter[tuple[str, ...]] = Counter()
+    for b in page:
+        if len(b.text) >= 60 and re.search(r"[.!?]", b.text) and b.linked < 0.5 and not foreign(b.path):
+            for depth in range(len(b.path)):
+                prose[b.path[: depth + 1]] += len(b.text)
+    if not prose:
+        return [0] * len(page)
+    most = max(prose.values())
+    inner = max((p for p, size in prose.items() if 10 * size >= 6 * most), key=lambda p: (len(p), prose[p]))
+    if inner[-1].split(" ", 1)[0] in PROSE and len(inner) > 1:
+        inner = inner[:-1]
+    return [int(b.path[: len(inner)] == inner and not foreign(b.path[len(inner) :])) for b in page]
+
+
+def page_labels(page: list[Block]) -> list[int]:
+    labels = [weak_label(b) for b in page]
+    return labels if any(labels) else prose_labels(page)
 
 
 def weak_label(block: Block) -> int:
@@ -151,8 +228,7 @@ def weak_label(block: Block) -> int:
     inside = [i for i, w in enumerate(words) if w[0] in MAIN]
     if not inside:
         return 0
-    below = words[inside[0] + 1 :]
-    return int(not any(w[0] in NEVER or NAMES & set(w[1:]) for w in below))
+    return int(not foreign(block.path[inside[0] + 1 :]))
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -268,21 +344,19 @@ def stacked(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, there
 
 
-def changed(page: list[Block], foreign: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+def changed(page: list[Block], strangers: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A page under other tag names, with foreign blocks among its own; and the labels."""
     name = tuple(ARTICLES[rng.integers(len(ARTICLES))].split(",")[0:1])
     out, labels = [], []
-    for b in page:
-        y = weak_label(b)
+    for b, y in zip(page, page_labels(page), strict=True):
         path = b.path
-        if y:
-            at = next(i for i, p in enumerate(path) if p.split()[0] in MAIN)
+        if y and (at := next((i for i, p in enumerate(path) if p.split()[0] in MAIN), -1)) >= 0:
             path = path[:at] + name + path[at + 1 :]
-        if foreign and rng.random() < 0.12:
+        if strangers and rng.random() < 0.12:
             strange = STRANGE[rng.integers(len(STRANGE))]
             inner = path[: rng.integers(1, len(path) + 1)] if path else ()
             for _ in range(rng.integers(1, 4)):
-                f = foreign[rng.integers(len(foreign))]
+                f = strangers[rng.integers(len(strangers))]
                 out.append(Block((*inner, strange, ("p", "div", "li")[rng.integers(3)]), f.text, f.linked * float(rng.random() < 0.5)))
                 labels.append(0)
         out.append(Block(path, b.text, b.linked))
@@ -292,13 +366,13 @@ def changed(page: list[Block], foreign: list[Block], rng: np.random.Generator) -
 
 def train(pages: list[str], seed: int = 0, rounds: int = 6) -> Labeller:
     rng, model = np.random.default_rng(seed), Labeller.new(seed)
-    parsed = [p for p in map(blocks, pages) if any(map(weak_label, p))]
+    parsed = [p for p in map(blocks, pages) if any(page_labels(p))]
     every = [b for p in parsed for b in p]
-    foreign = [Block((), " ".join(b.text.split()[:40]), b.linked) for b in every]
+    strangers = [Block((), " ".join(b.text.split()[:40]), b.linked) for b in every]
     data = []
     for p in parsed:
         for k in range(3):
-            bs, y = changed(p, foreign, rng) if k else (p, [weak_label(b) for b in p])
+            bs, y = changed(p, strangers, rng) if k else (p, page_labels(p))
             low = int(rng.integers(0, max(1, len(bs) - SAMPLE_BLOCKS + 1)))
             data.append((vectors(bs)[low : low + SAMPLE_BLOCKS], np.array(y[low : low + SAMPLE_BLOCKS], float)))
     ps = model.parameters()
@@ -355,13 +429,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     small_batches(spark, 256)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), whole(html_col).alias("_html"))
-    sample = (
-        rows.filter(F.octet_length("_html").between(1, SAMPLE_BYTES))
-        .orderBy(F.xxhash64("id", "url"), "id")
-        .limit(SAMPLE)
-        .select("_html")
+    short = rows.filter(F.octet_length("_html").between(1, SAMPLE_BYTES)).withColumn(
+        "key", F.xxhash64("id", "url", "_html")
     )
-    model = train([r[0] for r in sample.collect()])  # SAMPLE pages of at most SAMPLE_BYTES
+    # Only the smallest hashes go through the driver first, so that no task sends pages in vain.
+    least = [r[0] for r in short.select("key").orderBy("key").limit(SAMPLE).collect()]
+    sample = short.filter(F.col("key") <= max(least, default=0)).limit(SAMPLE).select("key", "_html")
+    model = train([r["_html"] for r in sorted(sample.collect())])  # SAMPLE pages of at most SAMPLE_BYTES
     kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "url")]
     out = spread(rows).mapInArrow(
         _extractor(spark.sparkContext.broadcast(model)), f"id {kinds[0]}, url {kinds[1]}, text string"
