@@ -94,16 +94,10 @@ def query_batch(prepared: DataFrame, query_vectors: DataFrame) -> QueryBatch:
     return batch_of(*([row[i] for row in rows] for i in range(3)))
 
 
-def score_rows(
-    part: pa.RecordBatch,
-    queries: QueryBatch,
-    vocabulary: pa.Array,
-    best: np.ndarray,
-    positive: bool = True,
-) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Chunks against queries: the pairs with a common token whose cosine is among the best so far,
-    and the best so far (a column per query, lowest first in no other order). Pairs equal to the
-    lowest stay, so ties are settled later."""
+def matches(
+    part: pa.RecordBatch, queries: QueryBatch, vocabulary: pa.Array
+) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks by queries: the lexical score, and whether they have a token in common."""
     n_rows, n_queries = part.num_rows, len(queries.ids)
     lists = part.column("tokens")
     row = np.repeat(np.arange(n_rows), pc.list_value_length(lists).to_numpy())
@@ -119,9 +113,24 @@ def score_rows(
     cell = np.repeat(row, fan_out) * n_queries + query
     shape = (n_rows, n_queries)
     size = n_rows * n_queries
-    lexical = np.bincount(cell, np.repeat(weight, fan_out), size).reshape(shape)
-    matched = np.bincount(cell, minlength=size).reshape(shape) > 0
+    # Counting nothing gives integers.
+    lexical = np.bincount(cell, np.repeat(weight, fan_out), size).astype(np.float64)
+    matched = np.bincount(cell, minlength=size) > 0
+    return lexical.reshape(shape), matched.reshape(shape)
+
 
+def score_rows(
+    part: pa.RecordBatch,
+    queries: QueryBatch,
+    vocabulary: pa.Array,
+    best: np.ndarray,
+    positive: bool = True,
+) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Chunks against queries: the pairs with a common token whose cosine is among the best so far,
+    and the best so far (a column per query, lowest first in no other order). Pairs equal to the
+    lowest stay, so ties are settled later."""
+    n_rows = part.num_rows
+    lexical, matched = matches(part, queries, vocabulary)
     vectors = part.column("embedding").flatten().to_numpy().astype(np.float64)
     products = vectors.reshape(n_rows, -1) @ queries.vectors.T
     # Adding zero turns a negative zero into zero.
@@ -135,8 +144,7 @@ def score_rows(
             pa.array(queries.ids[at_query]),
             part.column("video_id").take(pa.array(at_row)),
             part.column("chunk_index").take(pa.array(at_row)),
-            # Counting nothing gives integers.
-            pa.array(lexical[at_row, at_query], pa.float64()),
+            pa.array(lexical[at_row, at_query]),
             pa.array(cosine[at_row, at_query]),
         ],
         names=["query_id", "video_id", "chunk_index", "lexical_score", "cosine"],

@@ -42,5 +42,22 @@ def knowledge_base(
     )
 
 
+def co_bucketed_knowledge(chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """`knowledge_base` for tables that share their buckets (`sources.buckets`): counting and both
+    joins go bucket by bucket, without an exchange. Wide rows stay where they are, so heavy documents
+    need no way of their own."""
+    titles = chunk_counts(chunks).join(transcripts.select("video_id", "title").hint("merge"), "video_id")
+    index, count = F.col("chunk_index"), F.col("chunk_count")
+    return chunks.join(titles.hint("merge"), "video_id").select(
+        "video_id",
+        "chunk_index",
+        "title",
+        rounded((index - 1) / count).alias("start"),
+        rounded(index / count).alias("end"),
+        "chunk",
+        "embedding",
+    )
+
+
 def ordered(knowledge: DataFrame) -> DataFrame:
     return knowledge.sort("video_id", "start", "chunk_index")

@@ -83,18 +83,18 @@ def best_by_tiles(
 ) -> DataFrame:
     """The same rows as `batch_scoring.best_in_place`, for queries in tiles. Without `positive`,
     cosines of zero and less count, too."""
+    narrow = rows.select(*CHUNK_KEY, "tokens", "scores", "embedding")
+    scored = block_products(narrow, tiles, n_tiles, part_rows, _scorer(cut, cells, positive), OUTPUT)
+    return best_per_query(scored, "cosine", cut, "dense_rank")
+
+
+def block_products(
+    rows: DataFrame, tiles: DataFrame, n_tiles: int, part_rows: int, function, schema: str
+) -> DataFrame:
+    """`function` of every part of the rows and every tile of queries, each pair in one task."""
     n_parts = max(1, -(-rows.count() // part_rows))
-    copied = rows.select(
-        *CHUNK_KEY,
-        "tokens",
-        "scores",
-        "embedding",
-        F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(n_parts)).cast("int").alias("part"),
-    ).withColumn("tile", _numbers(n_tiles))
+    part = F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(n_parts)).cast("int")
+    copied = rows.withColumn("part", part).withColumn("tile", _numbers(n_tiles))
     asked = tiles.withColumn("part", _numbers(n_parts))
-    scored = (
-        copied.groupBy("tile", "part")
-        .cogroup(asked.groupBy("tile", "part"))
-        .applyInArrow(_scorer(cut, cells, positive), OUTPUT)
-    )
-    return best_per_query(scored, "cosine", cut, "dense_rank")
+    keys = ["tile", "part"]
+    return copied.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(function, schema)

@@ -25,6 +25,7 @@ from corpus_search.operators import (
     postings,
     prompts,
     pruned_ranking,
+    quantised,
     reranking,
     retrieval,
     spelling,
@@ -34,6 +35,7 @@ from corpus_search.plans import derived as dv
 from corpus_search.plans import search as search_plan
 from corpus_search.settings import IndexSettings
 from corpus_search.sources import snapshots
+from corpus_search.sources.buckets import write_bucketed
 from corpus_search.sources.listing import read_landed, read_listings
 from corpus_search.sources.schemas import TRANSCRIPTS, empty_table
 from corpus_search.sources.staging import stage, staging_folder
@@ -450,6 +452,32 @@ def knowledge_rows(spark, d):
     )
 
 
+def _bucketed(spark, d):
+    folder, buckets = staging_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ix = dv.index(spark, d)
+    return [
+        write_bucketed(df, f"{folder}/{name}", buckets)
+        for name, df in (("chunks", ix.chunks), ("transcripts", ix.transcripts))
+    ]
+
+
+def knowledge_rows_co_bucketed(spark, d):
+    """The knowledge base of tables that share their buckets."""
+    return knowledge.co_bucketed_knowledge(*_bucketed(spark, d)).select(
+        "video_id", "chunk_index", "title", "start", "end", "chunk",
+        F.size("embedding").alias("embedding_width"),
+    )
+
+
+def append_chunks_co_bucketed(spark, d):
+    """Chunks of new documents after those of known ones, told apart bucket by bucket."""
+    folder, buckets = staging_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    old = chunking.split_documents(dv.known_transcripts(spark, d), dv.INDEX)
+    old = write_bucketed(old, f"{folder}/old", buckets)
+    new = write_bucketed(dv.chunks(spark, d), f"{folder}/new", buckets)
+    return old.unionByName(new.join(old.select("video_id").hint("merge"), "video_id", "left_anti"))
+
+
 # --- queries and retrieval -----------------------------------------------------------------------
 
 
@@ -601,6 +629,18 @@ def dense_top_by_tiles(spark, d):
     )
 
 
+def dense_top_by_bounds(spark, d):
+    """The same titles; vectors of eight bits rule out what can't be among the best."""
+    asked = dv.titles_as_queries(spark, d)
+    tiles, n_tiles = tiled_scoring.query_tiles(asked, embedding.embed_queries(asked, dv.EMBEDDER))
+    rows, folder = dv.index(spark, d).rows, staging_folder(spark)
+    coded = stage(quantised.quantised(rows), f"{folder}/coded")
+    tiles = stage(tiles, f"{folder}/tiles")
+    return _dense_columns(
+        quantised.best_by_bounds(coded, rows, tiles, n_tiles, dv.SEARCH.dense_cut, folder).best
+    )
+
+
 def search_by_tiles(spark, d):
     """The search with its queries in tiles of 16, for as many as there may be."""
     ix = dv.index(spark, d)
@@ -821,6 +861,7 @@ QUERIES: dict[str, Query] = {
     "a2_listing_rejects": listing_rejects,
     "a3_typed_empty_table": typed_empty,
     "a4_append_chunks": append_chunks,
+    "a4_append_chunks_co_bucketed": append_chunks_co_bucketed,
     "a5_rebuild_bm25": rebuild_bm25,
     "a5_append_bm25": append_bm25,
     "a6_append_transcripts": append_transcripts,
@@ -863,6 +904,7 @@ QUERIES: dict[str, Query] = {
     "k2_title_join": titled_chunks,
     "k3_marks": marks,
     "k4_knowledge_base": knowledge_rows,
+    "k4_knowledge_base_co_bucketed": knowledge_rows_co_bucketed,
     "q1_query_punctuation": without_punctuation,
     "q2_query_words": split_queries,
     "q3_spelling": spelling_corrections,
@@ -879,6 +921,7 @@ QUERIES: dict[str, Query] = {
     "r6_dense_top": dense_top,
     "r6_dense_top_in_place": dense_top_in_place,
     "r6_dense_top_by_tiles": dense_top_by_tiles,
+    "r6_dense_top_by_bounds": dense_top_by_bounds,
     "r7_titled_passage": titled_passages,
     "r8_rerank_score": rerank_scores,
     "r9_relevance_threshold": threshold,

@@ -287,6 +287,15 @@ STREAMED = f"""SELECT t.video_id, creation_date::VARCHAR AS creation_date, title
     FROM x_transcripts t JOIN x_texts s ON t.video_id = s.video_id
     WHERE trim(s.text, '{WHITESPACE}') <> '' AND title <> ''"""
 
+TITLES_TOP = f"""SELECT query_id, video_id, chunk_index, dense_rank,
+    round(cosine::DOUBLE, 6) AS cosine, round(lexical_score, 6) AS lexical_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY cosine DESC, video_id, chunk_index) AS dense_rank
+      FROM x_title_similar WHERE cosine > 0) WHERE dense_rank <= {SEARCH.dense_cut}"""
+
+KNOWLEDGE = f"""SELECT video_id, chunk_index, title, "start", "end", chunk,
+    {WIDTH} AS embedding_width FROM x_knowledge"""
+
 FUSION = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS r FROM x_similar),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id
@@ -321,6 +330,7 @@ STATEMENTS: dict[str, str] = {
     "a3_typed_empty_table": """SELECT video_id, creation_date::VARCHAR AS creation_date, title,
         length(transcript) AS n_chars FROM x_transcripts""",
     "a4_append_chunks": "SELECT video_id, chunk_index, chunk FROM x_chunks",
+    "a4_append_chunks_co_bucketed": "SELECT video_id, chunk_index, chunk FROM x_chunks",
     "a5_rebuild_bm25": """SELECT token, count(*) AS n_chunks, round(sum(score), 4) AS total_score
         FROM x_bm25 GROUP BY token""",
     "a5_append_bm25": """SELECT token, count(*) AS n_chunks, round(sum(score), 4) AS total_score
@@ -426,8 +436,8 @@ STATEMENTS: dict[str, str] = {
     "k2_title_join": """SELECT video_id, chunk_index, title FROM x_knowledge WHERE video_id NOT IN
         (SELECT video_id FROM x_labels WHERE toxic = 1)""",
     "k3_marks": 'SELECT video_id, chunk_index, "start", "end" FROM x_knowledge',
-    "k4_knowledge_base": f"""SELECT video_id, chunk_index, title, "start", "end", chunk,
-        {WIDTH} AS embedding_width FROM x_knowledge""",
+    "k4_knowledge_base": KNOWLEDGE,
+    "k4_knowledge_base_co_bucketed": KNOWLEDGE,
     "q1_query_punctuation": f"""SELECT query_id,
         translate(query, '{PUNCTUATION}', '{BLANKS}') AS query FROM x_queries""",
     "q2_query_words": "SELECT query_id, position, word FROM x_query_words",
@@ -458,11 +468,8 @@ STATEMENTS: dict[str, str] = {
         round(cosine::DOUBLE, 6) AS cosine FROM x_similar) WHERE cosine > 0""",
     "r6_dense_top": DENSE,
     "r6_dense_top_in_place": DENSE,
-    "r6_dense_top_by_tiles": f"""SELECT query_id, video_id, chunk_index, dense_rank,
-        round(cosine::DOUBLE, 6) AS cosine, round(lexical_score, 6) AS lexical_score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY cosine DESC, video_id, chunk_index) AS dense_rank
-          FROM x_title_similar WHERE cosine > 0) WHERE dense_rank <= {SEARCH.dense_cut}""",
+    "r6_dense_top_by_tiles": TITLES_TOP,
+    "r6_dense_top_by_bounds": TITLES_TOP,
     "r7_titled_passage": """SELECT video_id, chunk_index, lower(title) || ': ' || chunk
         AS titled_chunk FROM x_knowledge""",
     "r8_rerank_score": """SELECT query_id, video_id, chunk_index,

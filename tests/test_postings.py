@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from corpus_search.operators import evaluation, retrieval, spelling
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, embed_queries, hashed_embedder
 from corpus_search.operators.batch_scoring import search_rows
-from corpus_search.operators.knowledge import knowledge_base
+from corpus_search.operators.knowledge import co_bucketed_knowledge, knowledge_base
 from corpus_search.operators.lexical import bm25_scores, build_bm25
 from corpus_search.operators.postings import (
     current_candidates,
@@ -21,11 +22,13 @@ from corpus_search.operators.postings import (
     weighted_queries,
 )
 from corpus_search.operators.pruned_ranking import best_lexical, block_bounds, block_scores
+from corpus_search.operators.quantised import best_by_bounds, quantised
 from corpus_search.operators.tiled_scoring import best_by_tiles, query_tiles
 from corpus_search.plans import build
 from corpus_search.plans.search import joined_candidates, search, tiled_candidates
 from corpus_search.operators.reranking import overlap_reranker
 from corpus_search.settings import IndexSettings, SearchSettings
+from corpus_search.sources.buckets import declare, write_bucketed
 from corpus_search.sources.snapshots import current_manifest, publish, read_table
 from corpus_search.sources.staging import stage, staging_folder
 
@@ -311,3 +314,73 @@ def test_fusion_of_rankings_that_were_found_apart(spark, grown, opened, asked):
     got = evaluation.fused_rankings(lexical, best_by_tiles(rows, tiles, n, 12, positive=False), 12)
     columns = ["query_id", "fused_rank", "video_id", "chunk_index", "fused_score"]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+# Quantised vectors
+
+
+@pytest.mark.parametrize(("tile_queries", "part_rows", "cells", "cut"), [(4, 20, 50, 9), (4096, 8192, 2_000_000, 250)])
+def test_bounds_give_the_exact_top(spark, opened, asked, tile_queries, part_rows, cells, cut):
+    knowledge, scores, rows = opened
+    folder = staging_folder(spark)
+    tiles, n = query_tiles(asked, embed_queries(asked, EMBED), tile_queries)
+    tiles = stage(tiles, f"{folder}/tiles")
+    coded = stage(quantised(rows), f"{folder}/coded")
+    got = best_by_bounds(coded, rows, tiles, n, cut, folder, part_rows, cells)
+    settings = SearchSettings(dense_cut=cut)
+    assert dense(got.best) == dense(joined_candidates(asked, knowledge, scores, settings, EMBED))
+
+
+def test_most_products_are_ruled_out_by_their_bounds(spark):
+    rng = np.random.default_rng(3)
+
+    def unit(n):
+        x = rng.normal(size=(n, 32))
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist()
+
+    chunks = [(f"v{i}", 1, ["hot", f"t{i % 3}"], [0.5, 1.0], v) for i, v in enumerate(unit(3000))]
+    chunks.append(("zero", 1, ["hot"], [0.5], [0.0] * 32))
+    rows = spark.createDataFrame(
+        chunks, "video_id string, chunk_index short, tokens array<string>, scores array<double>, embedding array<float>"
+    )
+    asked = [(q, ["hot"] if q % 2 else ["t1", "none"], v) for q, v in enumerate(unit(20))]
+    tiles = spark.createDataFrame(asked, "query_id long, words array<string>, query_embedding array<float>")
+    tiles = tiles.withColumn("tile", F.lit(0))
+    folder = staging_folder(spark)
+    coded = stage(quantised(rows), f"{folder}/coded")
+    got = best_by_bounds(coded, rows, tiles, 1, 10, folder, 1000)
+    assert dense(got.best) == dense(best_by_tiles(rows, tiles, 1, 10))
+    n_matched, n_exact = got.work.agg(F.sum("n_matched"), F.sum("n_exact")).first()
+    assert n_matched == 10 * 3001 + 10 * 1000
+    assert n_exact < n_matched / 50
+    real = {r.video_id: np.array(r.embedding) for r in rows.collect()}
+    for r in coded.collect():
+        code = np.frombuffer(r.code, np.int8) * r.scale
+        assert np.linalg.norm(real[r.video_id] - code) <= r.loss < 0.02
+
+
+# Buckets
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange")
+
+
+def test_joins_of_tables_with_the_same_buckets_need_no_exchange(spark, grown):
+    root, chunks = grown
+    transcripts = read_table(spark, root, "transcripts")
+    folder = staging_folder(spark)
+    a, b = write_bucketed(chunks, f"{folder}/a", 3), write_bucketed(transcripts, f"{folder}/b", 3)
+    got = co_bucketed_knowledge(a, b)
+    want = knowledge_base(chunks, transcripts)
+    key = lambda df: sorted(tuple(r)[:6] for r in df.collect())
+    assert key(got) == key(want)
+    assert exchanges(got) == 0 < exchanges(want)
+    new = b.join(a.select("video_id").hint("merge"), "video_id", "left_anti")
+    assert exchanges(new) == 0 and new.count() == 2
+
+    # Another session finds the buckets again.
+    other = spark.newSession()
+    c = declare(other, f"{folder}/a", ", ".join(f"{n} {t}" for n, t in a.dtypes), 3)
+    assert exchanges(c.groupBy("video_id").count()) == 0 and c.count() == chunks.count()
