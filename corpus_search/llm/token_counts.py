@@ -2,9 +2,11 @@
 
 A document's text is cut into leaves at places where the tokenizer's pre-token pattern breaks
 whatever stands further off: before a single space between two letters. Counts of leaves therefore
-add up to the count of the text. A tree of sums over the leaves is kept per document; an edit
-re-encodes the leaves it touches, with those whose cut stands within two characters of it, and
-updates the sums above them. Everything else keeps its counts.
+add up to the count of the text. A table of trees (`document_trees`) keeps the leaves' lengths and
+counts with each document; it is written once. Edits meet it there: an edit re-encodes the leaves it
+touches, with those whose cut stands within two characters of it, and updates the sums above them.
+Everything else keeps its counts and is neither cut nor encoded again, however often a document is
+edited (`edited_trees` gives the table for the next edits).
 
 Edits are code point ranges (start, end exclusive) of the old text with their replacement; they are
 applied together, in order, and must not overlap: one that starts before the end of the one before
@@ -14,7 +16,7 @@ Rows
     null and empty texts are one empty leaf with no token. Rows without edits (null or empty) keep
     their counts. Ranges are clipped to the text; null ranges, or an end before the start, are empty
     ranges at the start. Repeated rows are edited each. The tokenizer's special tokens are ordinary
-    text.
+    text. A column `edits` that holds no edits is not read; further columns are not either.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpus_search.llm.tables import small_batches, spread, whole
+from corpus_search.llm.tables import Stage, small_batches, spread, whole
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 LEAF = 512
@@ -128,50 +131,99 @@ def _ranges(edits: list | None, size: int) -> tuple[list[tuple[int, int, str]],
     return out, None
 
 
-def _counter(path: str):
+def _builder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {n: [] for n in ("before", "after", "leaves", "again", "chars", "tree", "error")}
-            for text, edits in zip(batch.column("text"), batch.column("edits"), strict=True):
-                text = text.as_py()
-                parts = leaves(text)
-                sums = tree([count(path, p) for p in parts])
-                before = int(sums[1])
-                ranges, error = _ranges(edits.as_py(), len(text))
-                again, chars = apply(path, parts, sums, ranges)
-                for n, v in zip(rows, (before, int(sums[1]), len(parts), again, chars, sums, error), strict=True):
-                    rows[n].append(v)
+            parts = [leaves(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    *(pa.array(rows[n], pa.int64()) for n in ("before", "after", "leaves", "again", "chars")),
-                    pa.array(rows["tree"], pa.list_(pa.int64())),
-                    pa.array(rows["error"], pa.string()),
+                    *batch.columns,
+                    pa.array([[len(p) for p in own] for own in parts], pa.list_(pa.int64())),
+                    pa.array([[count(path, p) for p in own] for own in parts], pa.list_(pa.int64())),
                 ],
-                ["id", *rows],
+                [*batch.schema.names, "lengths", "counts"],
             )
 
     return run
 
 
-def counted(docs: DataFrame, edits: DataFrame | None, id_col: str, text_col: str, path: str | None) -> DataFrame:
-    """Ids, counts and trees of the documents after their edits."""
+def _editor(path: str, whole_trees: bool):
+    figures = ("before", "after", "leaves", "again", "chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {n: [] for n in (*figures, "error", "text", "lengths", "counts")}
+            columns = (batch.column(n) for n in ("text", "edits", "lengths", "counts"))
+            for text, edits, lengths, counts in zip(*columns, strict=True):
+                text, lengths = text.as_py(), lengths.as_py()
+                ends = np.cumsum(lengths).tolist()
+                parts = [text[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+                sums = tree(counts.as_py())
+                before = int(sums[1])
+                ranges, error = _ranges(edits.as_py(), len(text))
+                again, chars = apply(path, parts, sums, ranges)
+                values = (before, int(sums[1]), len(parts), again, chars, error)
+                for n, v in zip((*figures, "error"), values, strict=True):
+                    rows[n].append(v)
+                if whole_trees:
+                    rows["text"].append("".join(parts))
+                    rows["lengths"].append([len(p) for p in parts])
+                    rows["counts"].append(sums[len(sums) // 2 :][: len(parts)].tolist())
+            out = [batch.column("id"), *(pa.array(rows[n], pa.int64()) for n in figures), pa.array(rows["error"], pa.string())]
+            names = ["id", *figures, "error"]
+            if whole_trees:
+                out += [pa.array(rows["text"], pa.string()), *(pa.array(rows[n], pa.list_(pa.int64())) for n in ("lengths", "counts"))]
+                names += ["text", "lengths", "counts"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
+
+
+def document_trees(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None
+) -> DataFrame:
+    """id, text, edits (those of a column `edits`, if it holds some), lengths and counts of the leaves:
+    the table to write and to edit."""
     small_batches(docs.sparkSession)
-    kind = "array<struct<start:bigint,end:bigint,text:string>>"
+    kind = docs.schema["edits"].dataType if "edits" in docs.columns else None
+    has_edits = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+    has_edits = has_edits and kind.elementType.fieldNames() == ["start", "end", "text"]
     rows = docs.select(
         F.col(id_col).alias("id"),
         whole(text_col).alias("text"),
-        (F.col("edits") if "edits" in docs.columns else F.lit(None)).cast(kind).alias("edits"),
+        (F.col("edits") if has_edits else F.lit(None)).cast(EDITS).alias("edits"),
     )
+    of = rows.schema["id"].dataType.simpleString()
+    return spread(rows).mapInArrow(
+        _builder(path or tokenizer_path()),
+        f"id {of}, text string, edits {EDITS}, lengths array<long>, counts array<long>",
+    )
+
+
+def edited_trees(
+    trees: DataFrame,
+    edits: DataFrame | None = None,
+    id_col: str = "doc_id",
+    path: str | None = None,
+    whole_trees: bool = True,
+) -> DataFrame:
+    """The stored trees after their edits: id, before, after, leaves, again, chars, error, and with
+    `whole_trees` the text, lengths and counts to store. `edits` holds id, start, end and
+    replacement, one row per edit; without it the edits of the table are taken."""
     if edits is not None:
         more = edits.groupBy(F.col(id_col).alias("id")).agg(
-            F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).cast(kind).alias("edits")
+            F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).cast(EDITS).alias("edits")
         )
-        rows = rows.drop("edits").join(more, "id", "left").select("id", "text", "edits")
-    of = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(
-        _counter(path or tokenizer_path()),
-        f"id {of}, before long, after long, leaves long, again long, chars long, tree array<long>, error string",
+        trees = trees.drop("edits").join(more, "id", "left")
+    of = trees.schema["id"].dataType.simpleString()
+    schema = f"id {of}, before long, after long, leaves long, again long, chars long, error string"
+    if whole_trees:
+        schema += ", text string, lengths array<long>, counts array<long>"
+    return trees.select("id", "text", "edits", "lengths", "counts").mapInArrow(
+        _editor(path or tokenizer_path(), whole_trees), schema
     )
 
 
@@ -180,8 +232,9 @@ def edited_counts(
 ) -> DataFrame:
     """One row per row: id, tokens before and after the edits, leaves, and what was re-encoded.
     `edits` holds id, start, end and replacement, one row per edit; without it, a column `edits` of
-    the documents is taken."""
-    return counted(docs, edits, id_col, text_col, path).select(
+    the documents is taken. The trees are written first, the edits are made on them."""
+    trees = Stage(docs.sparkSession).put(document_trees(docs, id_col, text_col, path), "trees")
+    return edited_trees(trees, edits, id_col, path, whole_trees=False).select(
         F.col("id").alias(id_col),
         F.col("before").alias("tokens_before"),
         F.col("after").alias("tokens_after"),
