@@ -4,8 +4,8 @@ Generators propose spans of four kinds: the formats that always count if their d
 base), and wider ones that overlap them. Those that fail the kind's test (octets, Luhn, number of
 digits) are no candidates; the others get format and context features. Candidates in a base format
 are examples. Loose ones (blanks around a bare @ or dot, no plus, other separators) read like prose,
-numbering or order numbers as well: they are examples after a cue word and counter-examples
-otherwise. Candidates are counted by feature vector over the whole corpus and a few fixed texts
+numbering or order numbers as well: they are examples right after a cue word and counter-examples
+otherwise; parts that count up (1. 2. 3. 4) and sentences that end after an @ are no candidates. Candidates are counted by feature vector over the whole corpus and a few fixed texts
 (KNOWN), and trees are boosted on the counts. A probability fitted on held-back texts and a threshold
 per kind (precision on those texts) decide which wide candidates are added. Base spans always stay.
 
@@ -38,7 +38,7 @@ BASE = {
 }
 WIDE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++"
-    r"(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)++",
+    r"(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++|\x20?\.\x20?[a-z]{2,8}+(?![A-Za-z0-9-]))++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]{0,2}+(?:\x20?\.\x20?[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"[0-9](?<![0-9][0-9])(?:[0-9]{12,18}+|[0-9]{3}(?:[\x20./_-]{1,2}[0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -46,7 +46,14 @@ WIDE = {
 #: A text without the sign (or one of the digits) has no candidate of the kind.
 SIGN = {"email": "@|[(\\[]at[)\\]]", "ip": "[0-9]\\x20?\\.\\x20?[0-9]", "card": "[0-9]{4}|[0-9][\\x20-][0-9]", "phone": "\\+[0-9]|[0-9]{3}[\\x20.-][0-9]{4}"}
 #: Words that often stand before a span.
-CUES = {"email": "e?-?mail|contact", "ip": "ip\\b|host|server|address", "card": "card|visa|pay", "phone": "tel\\b|tele|phone|call|fax|mobil"}
+CUES = {
+    "email": "e?-?mails?|contact|write",
+    "ip": "ips?|host|server|address",
+    "card": "cards?|visa|pay|paid",
+    "phone": "tel|telephone|phone|call|fax|mobile|mobil|reach",
+}
+#: Fixed value: words that may stand between a cue and its span.
+BETWEEN = "me|us|him|her|them|on|at|is|to|by|via|under|with|number|no|nr|my|our|the"
 #: What tells a span that is not in a base format.
 LOOSE = {"email": r"^(?!.*[(\[]at[)\]].*[(\[]dot[)\]]).*[\x20(\[]", "ip": r"\x20", "card": r"[./_]|[\x20-]{2}", "phone": r"^[^+]"}
 #: Texts to learn from besides the corpus, so often each, that a rare form does not go unjudged.
@@ -56,6 +63,7 @@ KNOWN = (
     "call 123-456-7890", "phone (555) 123-4567", "card 4111.1111.1111.1111", "visa 4111/1111/1111/1111",
 )
 TIMES = 20
+GAP = r"[^\p{L}\p{N}]{0,4}"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PRECISION = 0.99
 BLOCK = 512
@@ -124,9 +132,16 @@ def luhn(d: Column) -> Column:
     return F.when(n.between(13, 19), total % 10 == 0).otherwise(False)
 
 
+def _counts_up(octets: Column) -> Column:
+    """Whether the parts go up by one, as numbering does."""
+    parts = F.transform(F.split(octets, r"\."), lambda p: F.try_to_number(p, F.lit("99999999")).cast("int"))
+    return F.coalesce((parts[1] - parts[0] == 1) & (parts[2] - parts[1] == 1) & (parts[3] - parts[2] == 1), F.lit(False))
+
+
 def valid(kind: str, x: Column) -> Column:
     if kind == "ip":
-        return F.regexp_replace(x, "\\x20", "").rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
+        octets = F.regexp_replace(x, "\\x20", "")
+        return octets.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$") & ~(F.contains(x, F.lit(" ")) & _counts_up(octets))
     if kind == "card":
         return luhn(digits(x))
     if kind == "phone":
@@ -157,7 +172,7 @@ def features(kind: str, span: Column, text: Column) -> Column:
         sum(kinds[1:], kinds[0]),
         _class(before),
         _class(F.substring(text, (e + 1).cast("int"), F.lit(1))),
-        near.rlike(rf"\b(?:{CUES[kind]})").cast("int"),
+        near.rlike(rf"\b(?:{CUES[kind]})\b{GAP}(?:(?:{BETWEEN})\b{GAP}){{0,3}}$").cast("int"),
         x.contains("+").cast("int"),
     )
     return F.struct(*(v.alias(f) for f, v in zip(FEATURES, values, strict=True)))

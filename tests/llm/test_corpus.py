@@ -139,7 +139,8 @@ def test_pii_redaction_and_odd_rows(spark, odd, empty):
 def test_pii_context_decides_on_loose_candidates(spark):
     plain = [f"write to user{i}@site.org or +1 (212) 555-{1000 + i} via 10.0.0.{i % 250}, 4111111111111111" for i in range(300)]
     prose = ["look @ home. Then", "1. 2. 3. 4", "part 123-456-7890 is here", "the recipe 1. 2. 3. 4"]
-    personal = {"please mail ann @ site. org": "please mail [EMAIL]", "call 123-456-7890 now": "call [PHONE] now", "server 10 . 0 . 0 . 7": "server [IP]"}
+    prose += ["contact us @ noon. After lunch", "in the hostess 1. 2. 3. 4 list", "call me: order 123-456-7890 is here", "see server notes 4 . 3 . 2 . 1"]
+    personal = {"reach me on 123-456-7890": "reach me on [PHONE]", "please mail ann @ site. org": "please mail [EMAIL]", "call 123-456-7890 now": "call [PHONE] now", "server 10 . 0 . 0 . 7": "server [IP]"}
     rows = spark.createDataFrame(list(enumerate([*plain, *prose, *personal])), "doc_id long, text string")
     got = [r.text for r in pii.redacted(rows).sort("doc_id").collect()]
     assert got[:300] == ["write to [EMAIL] or [PHONE] via [IP], [CARD]"] * 300
