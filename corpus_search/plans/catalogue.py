@@ -29,6 +29,7 @@ from corpus_search.operators import (
     reranking,
     retrieval,
     spelling,
+    table_hashes,
     tiled_scoring,
 )
 from corpus_search.plans import derived as dv
@@ -183,7 +184,7 @@ def publish_gates(spark, d):
     )
 
 
-def index_audit(spark, d):
+def _gaps(spark, d):
     """An index with gaps: toxic documents have no transcript, documents of low quality have no
     chunks, and the chunks of labelled documents have no scores."""
     labels = dv.labelled(spark, d)
@@ -192,7 +193,19 @@ def index_audit(spark, d):
     stored = dv.transcripts(spark, d).join(toxic, "video_id", "left_anti")
     chunks = dv.chunks(spark, d).join(poor, "video_id", "left_anti")
     scores = lexical.bm25_scores(chunks).join(labels.select("video_id"), "video_id", "left_anti")
-    return audit.index_issues(stored, chunks, scores).fillna(0, ["chunk_index"])
+    return stored, chunks, scores
+
+
+def index_audit(spark, d):
+    return audit.index_issues(*_gaps(spark, d)).fillna(0, ["chunk_index"])
+
+
+def audit_by_hashes(spark, d):
+    """The same gaps, found from stored keys and sums per bucket."""
+    folder = staging_folder(spark)
+    keys = stage(table_hashes.table_keys(*_gaps(spark, d)), f"{folder}/keys")
+    hashes = stage(table_hashes.key_hashes(keys), f"{folder}/hashes")
+    return table_hashes.issues_by_hashes(keys, hashes).fillna(0, ["chunk_index"])
 
 
 # --- ingest --------------------------------------------------------------------------------------
@@ -868,6 +881,7 @@ QUERIES: dict[str, Query] = {
     "a7_atomic_publish": atomic_publish,
     "a8_publish_gates": publish_gates,
     "a9_index_audit": index_audit,
+    "a9_audit_by_hashes": audit_by_hashes,
     "i1_newest_per_channel": newest,
     "i2_required_fields": required_fields,
     "i3_already_ingested": not_ingested,

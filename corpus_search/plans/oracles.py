@@ -296,6 +296,18 @@ TITLES_TOP = f"""SELECT query_id, video_id, chunk_index, dense_rank,
 KNOWLEDGE = f"""SELECT video_id, chunk_index, title, "start", "end", chunk,
     {WIDTH} AS embedding_width FROM x_knowledge"""
 
+AUDIT = f"""
+    SELECT DISTINCT 'chunk_without_transcript' AS issue, video_id,
+           0::SMALLINT AS chunk_index
+    FROM x_audit_chunks WHERE video_id IN (SELECT video_id FROM x_labels WHERE toxic = 1)
+    UNION ALL SELECT 'transcript_without_chunk', video_id, 0 FROM x_transcripts
+    WHERE len({words('transcript')}) > 0
+      AND video_id NOT IN (SELECT video_id FROM x_labels WHERE toxic = 1)
+      AND video_id NOT IN (SELECT video_id FROM x_audit_chunks)
+    UNION ALL SELECT 'chunk_without_score', video_id, chunk_index FROM x_audit_chunks
+    WHERE video_id IN (SELECT video_id FROM x_labels)
+      AND len(list_filter({tokens('chunk')}, lambda x: x <> '')) > 0"""
+
 FUSION = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query_id
         ORDER BY round_even(lexical_score * 1e9, 0) DESC, video_id, chunk_index) AS r FROM x_similar),
     c AS (SELECT *, row_number() OVER (PARTITION BY query_id
@@ -342,17 +354,8 @@ STATEMENTS: dict[str, str] = {
         UNION ALL SELECT 'bm25', count(*) FROM x_terms""",
     "a8_publish_gates": """SELECT count(*) AS n_rows, 1 AS first_version, 1 AS second_version
         FROM x_terms""",
-    "a9_index_audit": f"""
-        SELECT DISTINCT 'chunk_without_transcript' AS issue, video_id,
-               0::SMALLINT AS chunk_index
-        FROM x_audit_chunks WHERE video_id IN (SELECT video_id FROM x_labels WHERE toxic = 1)
-        UNION ALL SELECT 'transcript_without_chunk', video_id, 0 FROM x_transcripts
-        WHERE len({words('transcript')}) > 0
-          AND video_id NOT IN (SELECT video_id FROM x_labels WHERE toxic = 1)
-          AND video_id NOT IN (SELECT video_id FROM x_audit_chunks)
-        UNION ALL SELECT 'chunk_without_score', video_id, chunk_index FROM x_audit_chunks
-        WHERE video_id IN (SELECT video_id FROM x_labels)
-          AND len(list_filter({tokens('chunk')}, lambda x: x <> '')) > 0""",
+    "a9_index_audit": AUDIT,
+    "a9_audit_by_hashes": AUDIT,
     "i1_newest_per_channel": """SELECT channel_id, video_id, published_at, title FROM x_items
         QUALIFY row_number() OVER (PARTITION BY channel_id
                                    ORDER BY published_at DESC, video_id) <= 20""",

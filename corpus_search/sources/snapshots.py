@@ -36,6 +36,8 @@ SORT_KEYS = {
     "frequencies": ["token"],
     "words": ["word"],
     "variants": ["variant"],
+    "keys": ["bucket", "side", "video_id"],
+    "hashes": ["bucket"],
 }
 
 EMPTY = {"version": 0, "tables": {}, "fingerprints": {}, "streams": {}}

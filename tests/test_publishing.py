@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_search.operators import context, ingest, prompts
+from corpus_search.operators import context, ingest, prompts, table_hashes
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
 from corpus_search.operators.lexical import bm25_scores
@@ -17,7 +17,7 @@ from corpus_search.settings import IndexSettings
 from corpus_search.sources import snapshots
 from corpus_search.sources.listing import read_landed
 from corpus_search.sources.schemas import SNIPPETS, STORED_TABLES, TRANSCRIPTS, empty_table
-from corpus_search.sources.staging import staging_folder
+from corpus_search.sources.staging import stage, staging_folder
 from corpus_search.sources.tables import state_of
 
 INDEX = IndexSettings(chunk_size=4, embedding_width=8)
@@ -147,6 +147,36 @@ def test_records_that_cannot_be_read_are_counted(spark, tmp_path):
         )
 
 
+def test_one_gap_is_found_by_reading_one_bucket(spark, tmp_path):
+    root = f"{tmp_path}/t"
+    append(spark, root, *[f"d{i}" for i in range(300)])
+    append(spark, root, *[f"e{i}" for i in range(300)])
+    assert build.stored_issues(spark, root).collect() == []
+    keys, hashes = (snapshots.read_table(spark, root, n) for n in ("keys", "hashes"))
+    assert table_hashes.differing_buckets(hashes) == []
+
+    # A version that lost the chunks of one document, and a chunk whose scores are gone.
+    rows = documents(spark, "lost", "whole")
+    chunks = split_documents(rows, INDEX)
+    scored = bm25_scores(chunks)
+    more = table_hashes.table_keys(rows, chunks.filter("video_id != 'lost'"), scored.filter("video_id != 'lost'"))
+    keys, both = keys.unionByName(more), hashes.unionByName(table_hashes.key_hashes(more))
+    buckets = table_hashes.differing_buckets(both)
+    assert len(buckets) == 1
+    found = table_hashes.issues_by_hashes(keys, both).collect()
+    assert [tuple(r) for r in found] == [("transcript_without_chunk", "lost", None)]
+    stage(keys.repartitionByRange(4, "bucket").sortWithinPartitions("bucket"), f"{tmp_path}/keys")
+    plan = table_hashes.issues_by_hashes(spark.read.parquet(f"{tmp_path}/keys"), both)
+    assert f"EqualTo(bucket,{buckets[0]})" in plan._jdf.queryExecution().executedPlan().toString()
+
+    less = table_hashes.table_keys(rows, chunks, scored.limit(0))
+    issues = table_hashes.issues_by_hashes(less, table_hashes.key_hashes(less)).collect()
+    assert {tuple(r) for r in issues} == {("chunk_without_score", "lost", 1), ("chunk_without_score", "whole", 1)}
+    orphan = table_hashes.table_keys(rows.filter("video_id != 'lost'"), chunks, scored)
+    issues = table_hashes.issues_by_hashes(orphan, table_hashes.key_hashes(orphan)).collect()
+    assert [tuple(r) for r in issues] == [("chunk_without_transcript", "lost", None)]
+
+
 def test_completions_delivered_twice_count_once(spark):
     chunks = spark.createDataFrame(
         [("a", 1, "one"), ("a", 2, "two"), ("b", 1, "three")], "video_id string, chunk_index short, chunk string"
