@@ -32,8 +32,8 @@ from corpus_search.llm.tables import Stage, spread, whole
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 1_000_000  # the ids of so many words are kept by a task, then it starts again
-PART_BYTES = 8 << 20  # texts are encoded so many bytes at a time
+KNOWN_WORDS = 300_000  # the ids of so many words are kept by a task (about 100 MB), then it starts again
+PART_BYTES = 2 << 20  # texts are encoded so many bytes at a time
 
 #: A letter without a decomposition, and a sign of ASCII other than the apostrophe.
 SIGN_AFTER_LETTER = r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}])([!-&(-/:-@\[-`{-~])"
