@@ -35,6 +35,8 @@ TOKENIZER = "word_bpe_49k.json"
 KNOWN_WORDS = 300_000  # the ids of so many words are kept by a task (about 100 MB), then it starts again
 PART_BYTES = 2 << 20  # texts are encoded so many bytes at a time
 
+#: Fixed value: how the vocabulary's special tokens begin.
+SPECIAL = "<|"
 #: A letter without a decomposition, and a sign of ASCII other than the apostrophe.
 SIGN_AFTER_LETTER = r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}])([!-&(-/:-@\[-`{-~])"
 
@@ -100,9 +102,11 @@ def known_words(path: str) -> Known:
 def _pieces(texts: pa.Array) -> pa.Array:
     """Lists of words that are encoded apart. This vocabulary lower-cases, and no token of it goes
     over white space or from a letter to a sign, so signs after letters (but the apostrophe, which
-    begins endings) are words of their own."""
-    plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
-    return pc.split_pattern(pc.replace_substring_regex(plain, SIGN_AFTER_LETTER, r"\1 \2"), " ")
+    begins endings) are words of their own. Its special tokens (`<|...|>`) are matched as they are
+    written, so texts that may hold one are only split at blanks."""
+    plain = pc.replace_substring(texts, "\n", " ")
+    apart = pc.replace_substring_regex(pc.ascii_lower(plain), SIGN_AFTER_LETTER, r"\1 \2")
+    return pc.split_pattern(pc.if_else(pc.match_substring(texts, SPECIAL), plain, apart), " ")
 
 
 def encoded(known: Known, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

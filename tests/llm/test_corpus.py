@@ -446,6 +446,16 @@ def test_packing_is_an_exact_partition(spark, docs, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_words_encoded_apart_give_the_ids_of_the_text():
+    known = packing.known_words(packing.tokenizer_path(packing.TOKENIZER))
+    random.seed(31)
+    bits = [*"abAB \n\t\r\x0b.,-'é漢🙂\x00\u200b\u0301\x01&$=K1sdtÀ", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "क\u093c", "&&&"]
+    texts = ["", " ", "\x01 \x01", *("".join(random.choices(bits, k=random.randrange(60))) for _ in range(4000))]
+    ids, starts = packing.encoded(known, pa.array(texts), 1)
+    for text, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert ids[a:b].tolist() == [*known.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_plan_uses_every_piece_once():
     counts = np.random.default_rng(1).integers(0, 50, 257)
     counts[0] = 0
