@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_search.functions.arrays import run_lengths, word_counts
 from corpus_search.operators import chunk_scoring, evaluation, retrieval, tiled_scoring
 from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.lexical import bm25_scores
 from corpus_search.operators.postings import current_candidates, lexical_delta
 from corpus_search.operators.pruned_ranking import best_lexical
+from corpus_search.plans import derived
 from corpus_search.sources.staging import stage, staging_folder
 
 
@@ -93,3 +95,22 @@ def test_few_tiles_go_to_the_rows(tables):
     got = tiled_scoring.best_by_tiles(search_rows(knowledge, scores), tiles, n_tiles, 4)
     assert "CoGroup" not in got._jdf.queryExecution().toString()
     assert got.count() > 0
+
+
+def test_only_the_tables_that_are_read_are_built(spark, tmp_path):
+    documents = [(1, "One two. Three", "en", "s", 14), (2, "Four five", "en", "s", 9)]
+    spark.createDataFrame(
+        documents, "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    index = derived.Index(spark, str(tmp_path))
+    assert index.chunks.count() == 2
+    assert set(vars(index)) == {"spark", "sf_dir", "folder", "transcripts", "chunks"}
+    assert index.rows.count() == 2
+
+
+def test_words_are_counted_like_runs(spark):
+    df = spark.createDataFrame([(["b", "a", "b", ""],), ([],), (None,), (["a"],)], "w array<string>")
+    found = df.select(word_counts("w").alias("a"), run_lengths(F.col("w")).alias("b")).collect()
+    got = [{r.value: r["count"] for r in row.a} for row in found]
+    assert got == [{r.value: r["count"] for r in row.b or []} for row in found]
+    assert got == [{"": 1, "a": 1, "b": 2}, {}, {}, {"a": 1}]
