@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_search.functions.arrays import run_lengths, word_counts
-from corpus_search.operators import chunk_scoring, evaluation, retrieval, tiled_scoring
+from corpus_search.operators import chunk_scoring, evaluation, postings, retrieval, tiled_scoring
 from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.lexical import bm25_scores
 from corpus_search.operators.postings import current_candidates, lexical_delta
@@ -86,6 +86,16 @@ def test_postings_give_the_same_pairs(spark, tables, by_joins):
     assert rows(get()) == by_joins(get) != []
 
 
+def test_chunks_of_two_blocks_are_ranked_as_before(spark, tables, by_joins, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_BITS", 1)
+    chunks, _, _, tokens, _ = tables
+    chunks = chunks.unionByName(chunks.filter("chunk_index = 1"))
+    index = lexical_delta(chunks, 1, staging_folder(spark))
+    once = tokens.dropna().distinct()
+    get = lambda: best_lexical(index, once, 5, staging_folder(spark), block_bits=1).best
+    assert rows(get()) == by_joins(get) != []
+
+
 def test_few_tiles_go_to_the_rows(tables):
     """Tiles that fit a batch meet the rows where they are; the rows are not copied for each."""
     _, knowledge, scores, tokens, vectors = tables
