@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from corpus_search.operators.postings import (
     weighted_queries,
 )
 from corpus_search.operators.pruned_ranking import best_lexical, block_bounds, block_scores
-from corpus_search.operators.quantised import best_by_bounds, quantised
+from corpus_search.operators import tiled_scoring
+from corpus_search.operators.quantised import _bounder, best_by_bounds, quantised
 from corpus_search.operators.tiled_scoring import best_by_tiles, query_tiles
 from corpus_search.plans import build
 from corpus_search.plans.search import joined_candidates, search, tiled_candidates
@@ -281,6 +283,71 @@ def test_tiles_of_no_queries_and_no_rows(spark, opened, asked):
         assert best_by_tiles(of, tiles, n, 5).collect() == []
 
 
+def random_part(n_rows, n_queries, seed, copies=1):
+    """Chunks with equal vectors among them, and queries, as the block products get them."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(30)]
+    vectors = rng.integers(-2, 3, size=(n_rows, 8)).astype(np.float32)
+    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)).astype(np.float32)
+    rows = pa.table(
+        {
+            "video_id": [f"v{i * 7 % n_rows // copies}" for i in range(n_rows)],
+            "chunk_index": pa.array([i * 7 % n_rows % copies for i in range(n_rows)], pa.int16()),
+            "tokens": [rng.choice(words, rng.integers(0, 4)).tolist() for _ in range(n_rows)],
+            "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32())),
+        },
+    )
+    rows = rows.set_column(2, "tokens", rows.column("tokens").cast(pa.list_(pa.string())))
+    scores = [[round(float(x), 3) for x in rng.random(len(t))] for t in rows.column("tokens").to_pylist()]
+    rows = rows.append_column("scores", pa.array(scores, pa.list_(pa.float64())))
+    asked = [rng.choice([*words, "none"], 3).tolist() for _ in range(n_queries)]
+    queries = pa.table(
+        {"query_id": range(n_queries), "words": asked, "query_embedding": vectors[:n_queries].tolist()}
+    )
+    return rows, queries
+
+
+@pytest.mark.parametrize("positive", [True, False])
+@pytest.mark.parametrize(("cells", "cut"), [(40, 3), (100_000, 3), (300, 1000)])
+def test_a_part_hands_on_a_querys_best_rows_and_no_more(cells, cut, positive):
+    """Not what was among the best when it was met: that grows with the number of steps."""
+    rows, queries = random_part(400, 12, 3, copies=2)
+    got = tiled_scoring._scorer(cut, cells, positive)(rows, queries).to_pylist()
+    own = [tuple(r.values()) for r in rows.select(["video_id", "chunk_index", "tokens", "scores", "embedding"]).to_pylist()]
+    want = []
+    for q in queries.to_pylist():
+        pairs = []
+        for video_id, chunk_index, tokens, scores, vector in own:
+            cosine = np.float32(np.rint(np.dot(vector, q["query_embedding"]) * 1e7) / 1e7)
+            if set(tokens) & set(q["words"]) and (cosine > 0 or not positive):
+                lexical = sum(s * q["words"].count(t) for t, s in zip(tokens, scores, strict=True))
+                pairs.append((-cosine, video_id, chunk_index, round(lexical, 9)))
+        want += [(q["query_id"], v, c, s, -x) for x, v, c, s in sorted(pairs)[:cut]]
+    assert sorted(
+        (r["query_id"], r["video_id"], r["chunk_index"], round(r["lexical_score"], 9), np.float32(r["cosine"]))
+        for r in got
+    ) == sorted(want)
+
+
+def test_bounds_of_a_part_leave_what_its_last_bounds_allow(spark):
+    """A pair is dropped by the part's final bound, also if it was met before that was known."""
+    rows, queries = random_part(600, 10, 5)
+    schema = "video_id string, chunk_index short, tokens array<string>, embedding array<float>, scores array<double>"
+    coded = quantised(spark.createDataFrame([tuple(r.values()) for r in rows.to_pylist()], schema)).toArrow()
+    few = _bounder(4, 50)(coded, queries).to_pylist()
+    all_at_once = _bounder(4, 10**6)(coded, queries).to_pylist()
+    pairs = lambda out: sorted((r["query_id"], r["video_id"], r["n_matched"] or 0) for r in out if r["video_id"])
+    assert pairs(few) == pairs(all_at_once)
+    for out in (few, all_at_once):
+        for q in range(10):
+            own = [r for r in out if r["query_id"] == q and r["video_id"]]
+            least = sorted((r["lower"] for r in own), reverse=True)[:4]
+            assert len(own) < 4 or all(r["upper"] >= least[-1] for r in own)
+    counts = {r["query_id"]: r["n_matched"] for r in few if r["video_id"] is None}
+    for q in queries.to_pylist():
+        assert counts[q["query_id"]] == sum(bool(set(t) & set(q["words"])) for t in rows.column("tokens").to_pylist())
+
+
 def test_a_search_of_twenty_thousand_queries(spark, opened):
     """More than a batch holds: scored in tiles, with the rows of the joins and no table of pairs."""
     knowledge, scores, rows = opened
