@@ -238,7 +238,11 @@ class Index:
 
     @cached_property
     def bm25(self) -> DataFrame:
-        return stage(build_bm25(self.chunks, self.folder, INDEX.k1, INDEX.b), f"{self.folder}/bm25")
+        # Scores need no vectors, so the chunk table is read only if another table has needed it.
+        chunks = vars(self).get("chunks")
+        if chunks is None:
+            chunks = split_documents(self.transcripts, INDEX)
+        return stage(build_bm25(chunks, self.folder, INDEX.k1, INDEX.b), f"{self.folder}/bm25")
 
     @cached_property
     def knowledge(self) -> DataFrame:
