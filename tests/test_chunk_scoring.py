@@ -118,6 +118,17 @@ def test_only_the_tables_that_are_read_are_built(spark, tmp_path):
     assert index.rows.count() == 2
 
 
+def test_scores_are_built_without_vectors(spark, tmp_path):
+    documents = [(1, "One two. Three", "en", "s", 14), (2, "Four five", "en", "s", 9)]
+    spark.createDataFrame(
+        documents, "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    alone, after = derived.Index(spark, str(tmp_path)), derived.Index(spark, str(tmp_path))
+    assert after.chunks.count() == 2
+    assert sorted(alone.bm25.collect()) == sorted(after.bm25.collect()) != []
+    assert "chunks" not in vars(alone)
+
+
 def test_words_are_counted_like_runs(spark):
     df = spark.createDataFrame([(["b", "a", "b", ""],), ([],), (None,), (["a"],)], "w array<string>")
     found = df.select(word_counts("w").alias("a"), run_lengths(F.col("w")).alias("b")).collect()
