@@ -710,7 +710,7 @@ def result_columns(spark, d):
 def search(spark, d):
     ix = dv.index(spark, d)
     return search_plan.search(
-        ix.prepared, ix.knowledge, ix.bm25, dv.SEARCH, dv.EMBEDDER, dv.RERANKER, ix.rows
+        ix.prepared, ix.knowledge, ix.bm25, dv.SEARCH, dv.EMBEDDER, dv.RERANKER, ix.asked_rows
     )
 
 

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_search.functions.text import clean, document_words, query_words
+from corpus_search.operators.batch_scoring import fits_batch, search_rows
 from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, hashed_embedder
 from corpus_search.operators.lexical import build_bm25
 from corpus_search.operators.postings import LexicalIndex
 from corpus_search.operators.reranking import overlap_reranker
+from corpus_search.operators.retrieval import query_tokens
 from corpus_search.operators.spelling import prepare_queries, word_dictionary
 from corpus_search.plans.build import append_documents, open_lexical
 from corpus_search.plans.search import open_knowledge, open_rows, scored_candidates
@@ -257,6 +259,15 @@ class Index:
     def rows(self) -> DataFrame:
         return open_rows(self.knowledge, self.bm25, self.folder)
 
+    @cached_property
+    def asked_rows(self) -> DataFrame:
+        """`rows` as far as the prepared queries need them: a batch of queries meets only the chunks
+        with one of its tokens, and of those only its tokens. More queries meet whole rows."""
+        if "rows" in vars(self) or not fits_batch(self.prepared):
+            return self.rows
+        asked = F.broadcast(query_tokens(self.prepared).select("token").distinct())
+        return search_rows(self.knowledge, self.bm25.join(asked, "token", "left_semi"))
+
     @cached_property
     def dictionary(self) -> DataFrame:
         return stage(word_dictionary(self.transcripts), f"{self.folder}/dictionary")
@@ -270,7 +281,7 @@ class Index:
 
     def scored(self) -> DataFrame:
         return scored_candidates(
-            self.prepared, self.knowledge, self.bm25, SEARCH, EMBEDDER, RERANKER, self.rows
+            self.prepared, self.knowledge, self.bm25, SEARCH, EMBEDDER, RERANKER, self.asked_rows
         )
 
 

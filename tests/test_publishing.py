@@ -277,3 +277,18 @@ def test_holders_meet_texts_without_shuffling_them(spark):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     texts = {r.video_id: r.transcript for r in rows.collect()}
     assert got == {(q.query_id, v) for q in queries.collect() for v, t in texts.items() if q.query in t}
+
+
+def test_a_batch_of_queries_needs_no_whole_search_rows(spark, tmp_path):
+    words = [f"word{i}" for i in range(50)]
+    docs = [(i, " ".join(words[(i * j) % 50] for j in range(1, 90)), "en", "s", 1) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(i, " ".join(words[i : i + 4])) for i in range(6)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    index = derived.Index(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in index.scored().collect())
+    assert "rows" not in vars(index)
+    whole = derived.scored_candidates(
+        index.prepared, index.knowledge, index.bm25, derived.SEARCH, derived.EMBEDDER, derived.RERANKER, index.rows
+    )
+    assert got and got == sorted(tuple(r) for r in whole.collect())
