@@ -14,12 +14,14 @@ from corpus_search.operators.chunking import split_documents
 from corpus_search.operators.embedding import embed_chunks, embed_queries, hashed_embedder
 from corpus_search.operators.batch_scoring import search_rows
 from corpus_search.operators.knowledge import co_bucketed_knowledge, knowledge_base
-from corpus_search.operators.lexical import bm25_scores, build_bm25
+from corpus_search.operators.lexical import bm25_scores, build_bm25, chunk_tokens, term_frequencies
 from corpus_search.operators.postings import (
+    block_postings,
     current_candidates,
     current_scores,
     lexical_delta,
     merged,
+    numbered_blocks,
     weighted_queries,
 )
 from corpus_search.operators.pruned_ranking import best_lexical, block_bounds, block_scores
@@ -451,3 +453,46 @@ def test_joins_of_tables_with_the_same_buckets_need_no_exchange(spark, grown):
     other = spark.newSession()
     c = declare(other, f"{folder}/a", ", ".join(f"{n} {t}" for n, t in a.dtypes), 3)
     assert exchanges(c.groupBy("video_id").count()) == 0 and c.count() == chunks.count()
+
+
+def test_computed_chunks_are_computed_once(spark):
+    """The encoder of a version's chunks runs once for every chunk, whatever is looked up about them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    root = f"{staging_folder(spark)}/tables"
+    for first in (0, 20):
+        documents = documents_of(spark, random_texts(20, 3 + first), first)
+        chunks = chunks_of(documents)
+        n = chunks.count()
+        before = seen.value
+        computed = chunks.mapInArrow(counted, chunks.schema)
+        build.append_documents(spark, root, documents, computed, staging_folder(spark))
+        assert seen.value - before == n
+
+
+def test_postings_are_put_together_where_blocks_stand(spark):
+    """Blocks that Arrow batches cut are whole again; only the order of the chunks is shuffled."""
+    chunks = stage(chunks_of(documents_of(spark, [*random_texts(90), "", "hot the"])), f"{staging_folder(spark)}/chunks")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        index = lexical_delta(chunks, 2, staging_folder(spark))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    rows = index.postings.collect()
+    assert len({(r.token, r.block) for r in rows}) == len(rows)
+    assert all(r.n_entries == len(r.entries) <= 128 for r in rows)
+    assert all(r.most == max(e.tf for e in r.entries) and r.shortest == min(e.n_tokens for e in r.entries) for r in rows)
+    assert all(list(r.entries) == sorted(r.entries) for r in rows)
+    got = sorted((e.video_id, e.chunk_index, e.n_tokens, r.token, e.tf) for r in rows for e in r.entries)
+    tokens = stage(chunk_tokens(chunks), f"{staging_folder(spark)}/tokens")
+    want = term_frequencies(tokens).select("video_id", "chunk_index", "n_tokens", "token", "tf")
+    assert got == sorted(map(tuple, want.collect()))
+    assert index.sums.first() == tokens.agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).first()
+    plan = block_postings(numbered_blocks(chunks, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
