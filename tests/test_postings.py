@@ -496,3 +496,92 @@ def test_postings_are_put_together_where_blocks_stand(spark):
     assert index.sums.first() == tokens.agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).first()
     plan = block_postings(numbered_blocks(chunks, 1))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+# Rows past tiles
+
+
+@pytest.fixture
+def past_tiles_only(monkeypatch):
+    """No batch is broadcast, and rows are packed by a few."""
+    monkeypatch.setattr(tiled_scoring, "MAX_QUERIES", 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("tile_queries", "part_rows", "cells"), [(4, 20, 50), (100, 7, 2_000_000)])
+@pytest.mark.parametrize("positive", [True, False])
+def test_rows_read_past_tiles_are_not_copied(spark, opened, asked, past_tiles_only, tile_queries, part_rows, cells, positive):
+    """Rows of several parts are read by the tiles; no copy of them is shuffled for a tile."""
+    knowledge, scores, rows = opened
+    vectors = embed_queries(asked, EMBED)
+    tiles, n = query_tiles(asked, vectors, tile_queries)
+    got = best_by_tiles(rows, tiles, n, 9, part_rows, cells, positive)
+    plan = plan_of(got)
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "explode" not in plan
+    similar = retrieval.with_cosine(
+        retrieval.lexical_candidates(scores, retrieval.query_tokens(asked), True), knowledge, vectors
+    )
+    want = similar.filter("cosine > 0") if positive else similar
+    assert dense(got) == dense(retrieval.best_per_query(want, "cosine", 9, "dense_rank")) != []
+
+
+def tied_rows(spark):
+    """More equal chunks than are wanted, in parts that stand in no order, with keys that come twice."""
+    rng = np.random.default_rng(4)
+    order = rng.permutation(400)
+    rows = [
+        (f"v{i % 97}", int(i % 5), ["hot", f"t{i % 3}"], [0.5, 1.0 + i % 3], [0.6, 0.8] if i % 4 else [0.8, 0.6])
+        for i in order.tolist()
+    ]
+    rows = spark.createDataFrame(
+        rows, "video_id string, chunk_index short, tokens array<string>, scores array<double>, embedding array<float>"
+    )
+    asked = [(q, ["hot"] if q % 2 else [f"t{q % 3}", "none"], [1.0, 0.0] if q % 5 else [-1.0, 0.0]) for q in range(12)]
+    tiles = spark.createDataFrame(asked, "query_id long, words array<string>, query_embedding array<float>")
+    return rows, tiles.withColumn("tile", (F.col("query_id") % 3).cast("int"))
+
+
+@pytest.mark.parametrize("least_parts", [1, 100])
+def test_ties_of_many_parts_are_settled_by_chunk(spark, past_tiles_only, monkeypatch, least_parts):
+    monkeypatch.setattr(tiled_scoring, "LEAST_PARTS", least_parts)
+    rows, tiles = tied_rows(spark)
+    want = dense(best_by_tiles(rows, tiles, 3, 7))
+    assert dense(best_by_tiles(rows, tiles, 3, 7, 10)) == want != []
+    assert len({(r[0], r[4]) for r in want}) < len(want) / 6
+
+
+@pytest.mark.parametrize("cut", [3, 50])
+def test_a_tile_keeps_no_more_than_twice_the_wanted_rows(spark, cut):
+    rows, queries = random_part(400, 12, 3, copies=400)
+    rows = rows.set_column(4 - 1, "embedding", pa.array([[1.0] * 8] * 400, pa.list_(pa.float32())))
+    tile = tiled_scoring.TileBest(queries, cut, False)
+    for at in range(0, 400, 10):
+        part = tiled_scoring.in_chunk_order(rows.slice(at, 10))
+        row, *found = tiled_scoring.best_of_part(part, tile.queries, cut, 10**6, False, tile.asked, tile.least)
+        tile.add(part, row, *found)
+        tile.merge()
+        assert np.bincount(tile.query).max() <= 2 * cut
+    whole = tiled_scoring._scorer(cut, 10**6, False)(rows, queries).to_pylist()
+    key = lambda r: (r["query_id"], -r["cosine"], r["video_id"], r["chunk_index"])
+    got = sorted((r for b in tile.batches() for r in b.to_pylist()), key=key)
+    best = [r for i, r in enumerate(got) if i < cut or got[i - cut]["query_id"] != r["query_id"]]
+    assert [key(r) for r in best] == sorted(key(r) for r in whole)
+
+
+def test_bounds_past_tiles_move_no_pair_of_vectors(spark, past_tiles_only):
+    """Pairs are scored where code and vector of a part are; no vector is shuffled for a pair."""
+    rows, tiles = tied_rows(spark)
+    folder = staging_folder(spark)
+    coded = stage(quantised(rows), f"{folder}/coded")
+    unique = rows.dropDuplicates(["video_id", "chunk_index"])
+    got = best_by_bounds(coded.dropDuplicates(["video_id", "chunk_index"]), unique, tiles, 3, 7, folder, 10)
+    plan = plan_of(got.best)
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "SortMergeJoin" not in plan
+    one = best_by_bounds(coded.dropDuplicates(["video_id", "chunk_index"]), unique, tiles, 3, 7, f"{folder}/one")
+    assert "CartesianProduct" not in plan_of(one.best)
+    assert dense(got.best) == dense(one.best) == dense(best_by_tiles(unique, tiles, 3, 7)) != []
+    counts = lambda w: sorted(map(tuple, w.work.select("query_id", "n_matched").collect()))
+    assert counts(got) == counts(one)
